@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ def grams(folded: str) -> set[str]:
     return out
 
 
-def mine(docs: list[set[str]], y: np.ndarray, keep: int) -> list[str]:
+def mine(docs: Iterable[set[str]], y: np.ndarray, keep: int) -> list[str]:
     """The grams whose smoothed log-odds of being in a toxic text stand out most in standard errors."""
     one, zero = Counter(), Counter()
     for d, t in zip(docs, y):
@@ -167,12 +168,11 @@ def fit_texts(texts: list[str], y: np.ndarray, prior: float) -> Toxicity:
     if not len(y) or y.min() == y.max():
         return Toxicity({g: 4.0 for g in fixed}, [1.0] * len(PATTERNS), -2.0)
     folded = [fold(t) for t in texts]
-    docs = [grams(f) for f in folded]
-    picked = list(dict.fromkeys([*mine(docs, y, FEATURES), *fixed]))
+    picked = list(dict.fromkeys([*mine(map(grams, folded), y, FEATURES), *fixed]))
     place = {g: i for i, g in enumerate(picked)}
-    x = np.zeros((len(docs), len(picked) + len(PATTERNS)), dtype=np.float32)
-    for r, (d, f) in enumerate(zip(docs, folded)):
-        for g in d & place.keys():
+    x = np.zeros((len(folded), len(picked) + len(PATTERNS)), dtype=np.float32)
+    for r, f in enumerate(folded):  # made again: the sets of all texts at once would fill the driver
+        for g in grams(f) & place.keys():
             x[r, place[g]] = 1
         for g in fixed:
             x[r, place[g]] = g in f
