@@ -200,7 +200,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = exploded.select("key", "node").join(counted.select("key", "pivot"), "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     groups = written(connected_components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("node")))
 
-    reps = docs.join(groups, "doc_id")
+    reps = docs.join(groups.hint("merge"), "doc_id")  # the groups grow with the table: one way at every size
     arrays = written(_arrays(reps).dropDuplicates(["doc_id"]))
     n = F.octet_length("s") / 8
     # a little wider than the ratio of sizes that can link, so that rounding never parts two neighbours
