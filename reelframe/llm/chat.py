@@ -51,13 +51,14 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def best_paths(messages: DataFrame, rounds: int = 40) -> DataFrame:
+def best_paths(messages: DataFrame) -> DataFrame:
     """(tree, node, depth) of the messages on each tree's best root-to-leaf path.
 
     messages: tree, node, parent (null at a root), score. Iterative self-joins
     by pointer doubling: after round k a node knows its 2**k-th ancestor and
     the score and length of the path between, so a path of n messages takes
-    log2(n) rounds and no list of a path is ever built. Branches rank by the
+    log2(n) rounds and no list of a path is ever built. A node that has reached
+    its root is set aside and no longer joined. Branches rank by the
     mean score of their path, ties by the least leaf; the best leaf's
     ancestors are then gathered through the same jump tables, half a path at
     a time. A parent that isn't there makes a root; nodes on a cycle reach no
@@ -71,17 +72,16 @@ def best_paths(messages: DataFrame, rounds: int = 40) -> DataFrame:
     state = cut(state)
     has_child = state.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = state.join(has_child, ["tree", "node"], "left_anti").select("tree", "node")
-    jumps = []
-    for _ in range(rounds):
-        moving = state.where("up is not null")
+    jumps, finished, moving = [], state.where("up is null"), state.where("up is not null")
+    longest = base.groupBy("tree").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    for _ in range(longest.bit_length()):  # a path isn't longer than its tree; what moves beyond that is a cycle
         if moving.limit(1).count() == 0:
             break
         jumps.append(moving.select("tree", "node", "up"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("t"), F.col("n").alias("m"))
-        state = cut(
-            state.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        )
-    reached = state.where("up is null").select("tree", "node", "total", F.col("n").alias("depth"))
+        above = finished.unionByName(moving).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("t"), F.col("n").alias("m"))
+        state = cut(moving.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("t")).alias("total"), (F.col("n") + F.col("m")).alias("n")))
+        finished, moving = finished.unionByName(state.where("up is null")), state.where("up is not null")
+    reached = finished.select("tree", "node", "total", F.col("n").alias("depth"))
     ranked = leaves.join(reached, ["tree", "node"]).groupBy("tree").agg(F.min(F.struct((-F.col("total") / F.col("depth")).alias("s"), "node"))["node"].alias("node"))
     path = ranked
     for jump in reversed(jumps):
