@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, written
+from .common import keep_rows, map_rows, written
 
 WINDOW = 13
 #: Bytes of benchmark text that one automaton may hold; a larger benchmark is scanned in blocks of items.
@@ -109,6 +108,18 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], first: bool, key: str
     return map_rows(docs, columns, f"`{key}` {kind}, {'' if last else 'text string, '}{_SCHEMA}", task)
 
 
+def _known(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(items that have an id and a text, the number of blocks of at most about block_bytes that they make)."""
+    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("id"), "text")
+    total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return known, max(1, -(-total // block_bytes))
+
+
+def _block(known: DataFrame, blocks: int, i: int) -> list[tuple[str, bytes]]:
+    part = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i) if blocks > 1 else known
+    return [(r[0], r[1].encode()) for r in part.toLocalIterator()]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of docs: key, n_words, ranges (merged word ranges that windows of items
     cover), items (their ids as sorted strings), spans (the ranges as code-point offsets of the
@@ -120,13 +131,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     a null id or without words are never found; items that repeat count once.
     Other columns of either table are ignored; an empty benchmark finds nothing.
     """
-    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("id"), "text")
-    total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    known, blocks = _known(benchmark, block_bytes)
     docs = docs.select(key, "text")
     for i in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i) if blocks > 1 else known
-        items = [(r[0], r[1].encode()) for r in part.toLocalIterator()]
+        items = _block(known, blocks, i)
         docs = _pass(docs, items, i == 0, key, i == blocks - 1, size)
         if i < blocks - 1:
             docs = written(docs)
@@ -149,5 +157,24 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated. With one block of items this is one pass without
+    a shuffle; with more, the blocks are scanned in turn and contaminated keys are joined away (rows of a null key stay)."""
+    known, blocks = _known(benchmark, block_bytes)
+    if blocks > 1:
+        found = digest(find_contamination(docs, benchmark, key, WINDOW, block_bytes), key)
+        return docs.join(found.where("contaminated").select(key), key, "left_anti").select(*docs.columns)
+    handed = docs.sparkSession.sparkContext.broadcast(_block(known, 1, 0))
+
+    def task():
+        scanner = Scanner(handed.value)
+
+        def clean(t) -> bool:
+            text = t.as_buffer()
+            split = words(text.to_pybytes() if text is not None else None)
+            hit = sum(hi - lo for lo, hi in scanner.scan(split)[0])
+            return not (hit and 20 * hit >= len(split))
+
+        return lambda texts: [clean(t) for t in texts]
+
+    return keep_rows(docs, "text", task)

@@ -251,4 +251,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = jaccard_components(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     rest = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).union(rest)
+    return docs.join(kept.hint("merge"), "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).union(rest)

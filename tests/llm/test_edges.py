@@ -87,6 +87,8 @@ def test_decontamination_edges(spark):
             n, hit, names = contamination_brute(t, known)
             expected.append((i, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
         assert got == sorted(expected, key=str)
+        kept = decontam.keep_clean(docs, bench, block_bytes=block)
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(e[0]) for e in expected if not e[5])
     assert decontam.find_contamination(documents(spark, []), bench).count() == 0
     clean = decontam.digest(decontam.find_contamination(docs, bench.limit(0))).where("contaminated or n_items > 0").count()
     assert clean == 0
