@@ -77,7 +77,7 @@ def test_the_bitmap_bound_is_never_below_the_overlap():
 def test_decontamination_edges(spark):
     rng = random.Random(2)
     items = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 3, 12, 13, 14, 30])))) for i in range(30)] + [(99, None), (None, "a b c"), (3, "a b"), (100, "É x'y")]
-    rows = [(i, " ".join(rng.choice(list("abcdefg") + [items[rng.randrange(30)][1]]) for _ in range(rng.randrange(60)))) for i in range(60)] + ROWS[1:4] + [(70, "É, X y!"), (70, "É, X y!")]
+    rows = [(i, " ".join(rng.choice(list("abcdefg") + [items[rng.randrange(30)][1]]) for _ in range(rng.randrange(60)))) for i in range(60)] + [(900 + i, t) for i, t in ROWS[1:4]] + [(70, "É, X y!"), (70, "É, X y!")]
     docs, bench = documents(spark, rows), spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     known = [(i, t) for i, t in items if i is not None]
     for block in (1 << 20, 120):
