@@ -33,11 +33,20 @@ def frame_to_sample(samples: DataFrame, step: int) -> DataFrame:
     return timed.select("sample", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("frame")).select("frame", "sample")
 
 
-def chunk_counts(chunks: DataFrame, firsts: DataFrame) -> DataFrame:
-    """chunk, samples_per_chunk: that of the last entry (first_chunk, samples_per_chunk) at or before a chunk."""
-    both = chunks.select("chunk", F.lit(1).alias("is_chunk"), F.lit(None).cast("long").alias("n")).unionByName(firsts.select(F.col("first_chunk").alias("chunk"), F.lit(0).alias("is_chunk"), F.col("samples_per_chunk").cast("long").alias("n")))
-    w = Window.partitionBy(F.lit(0)).orderBy("chunk", "is_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("samples_per_chunk", F.last("n", ignorenulls=True).over(w)).where("is_chunk = 1").select("chunk", "samples_per_chunk")
+def chunk_counts(chunks: DataFrame, firsts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """chunk, samples_per_chunk: that of the last entry (first_chunk, samples_per_chunk) at or before a chunk.
+
+    Chunks are filled block by block; what a block starts with is the last entry
+    of the blocks before, one row a block.
+    """
+    entries = firsts.select(F.col("first_chunk").alias("chunk"), F.lit(0).alias("is_chunk"), F.col("samples_per_chunk").cast("long").alias("n"))
+    both = chunks.select("chunk", F.lit(1).alias("is_chunk"), F.lit(None).cast("long").alias("n")).unionByName(entries)
+    both = both.withColumn("block", F.floor(F.col("chunk") / block).cast("long"))
+    lasts = both.groupBy("block").agg(F.max_by("n", F.when(F.col("n").isNotNull(), F.col("chunk"))).alias("last"))
+    carried = lasts.select("block", F.last("last", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    inside = F.last("n", ignorenulls=True).over(Window.partitionBy("block").orderBy("chunk", "is_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = both.withColumn("inside", inside).where("is_chunk = 1").join(carried, "block")
+    return filled.select("chunk", F.coalesce("inside", "carry").alias("samples_per_chunk"))
 
 
 def sample_offsets(samples: DataFrame, chunk_offset: str = "chunk * 16384") -> DataFrame:

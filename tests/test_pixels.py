@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import pixels as P
 from reelframe.functions import timing
-from reelframe.operators import combine, delta, spatial
+from reelframe.operators import combine, delta, movtables, spatial
 
 
 def test_premultiply_and_back_for_all_levels(spark):
@@ -88,3 +88,14 @@ def test_an_empty_movie_goes_through(spark):
     px = movie(spark, [])
     assert delta.codes(delta.delta_pixels(px), 4).count() == 0
     assert combine.mix_alpha(px).count() == 0 and delta.frame_classes(px).count() == 0
+
+
+def test_sample_tables_across_blocks(spark):
+    rows = [(i, i // 3, 10 + i, 1 + i % 4) for i in range(60)]
+    samples = spark.createDataFrame(rows, "sample long, chunk long, size long, dur long")
+    got = dict(movtables.start_times(samples, block=7).select("sample", "start_time").collect())
+    assert got == {i: sum(r[3] for r in rows[:i]) for i in range(60)}
+    firsts = spark.createDataFrame([(0, 3), (2, 5), (15, 1)], "first_chunk long, samples_per_chunk long")
+    got = dict(movtables.chunk_counts(samples.select("chunk").distinct(), firsts, block=4).collect())
+    assert got == {c: 3 if c < 2 else 5 if c < 15 else 1 for c in range(20)}
+    assert movtables.sync_flags(samples, None).where("not is_key").count() == 0
