@@ -39,16 +39,14 @@ def assign_shards(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")
     out, open_rows, depth = None, rows, 0
     while True:
         top = min(BITS, depth + ROUND)
-        cells = open_rows.groupBy(prefix(top).alias("cell")).agg(F.sum("n_bytes").alias("b"))
+        cells = cut(open_rows.groupBy(prefix(top).alias("cell")).agg(F.sum("n_bytes").alias("b")))
         found = F.lit(None).cast("int")
         for d in range(top, depth, -1):
             total = F.sum("b").over(Window.partitionBy(F.expr(f"shiftright(cell, {top - d})")))
             found = F.when(total <= limit_bytes, d).otherwise(found)
-        if depth == 0:  # does the whole table fit one shard?
-            whole = cells.agg(F.sum("b").alias("whole"))
-            directory = cells.crossJoin(F.broadcast(whole)).select("cell", F.when(F.col("whole") <= limit_bytes, 0).otherwise(found).alias("depth"))
-        else:
-            directory = cells.select("cell", found.alias("depth"))
+        if depth == 0 and (cells.agg(F.sum("b")).first()[0] or 0) <= limit_bytes:
+            found = F.lit(0)  # the whole table fits one shard
+        directory = cells.select("cell", found.cast("int").alias("depth"))
         directory = cut(directory)
         side = F.broadcast(directory) if depth == 0 else directory
         placed = open_rows.join(side, prefix(top) == F.col("cell")).drop("cell")
