@@ -37,14 +37,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return c
-
-
-def rows_of(frame):
-    """Sorted rows as text, columns by name."""
-    columns = sorted(frame.columns)
-    return columns, sorted(tuple(str(x.tolist() if hasattr(x, "tolist") else x) for x in r) for r in frame[columns].itertuples(index=False))
-
-
-def check_against_sql(spark, duck, name, query, sql):
-    got, expected = query(spark, SF).toPandas(), duck.execute(sql).fetchdf()
-    assert rows_of(got) == rows_of(expected), name

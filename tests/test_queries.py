@@ -1,7 +1,7 @@
 """Each registered engine query against its SQL twin."""
 
 import pytest
-from conftest import check_against_sql
+from sqlcheck import check_against_sql
 
 from reelframe.queries import ORACLE, QUERIES
 
