@@ -34,7 +34,7 @@ class Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         x = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return x

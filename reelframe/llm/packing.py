@@ -21,7 +21,7 @@ END_ID = 2
 #: Tokens that a task holds before it packs them, and sequences that make a step group.
 POOL_TOKENS = 1 << 20
 #: Distinct chunks whose ids a Python worker remembers, and bytes of text that it splits at once.
-CACHE, SLICE_BYTES = 1_000_000, 8 << 20
+CACHE, SLICE_BYTES = 400_000, 8 << 20
 
 #: Chunks of printable ASCII without an apostrophe and of Latin-1 letters, and the pieces that the pre-tokenizer makes of them.
 _SIMPLE = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
