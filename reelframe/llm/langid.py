@@ -14,6 +14,7 @@ ROWS, DICT_BYTES, MAX_CHARS, LANGUAGES = 600, 112 * 1024, 40_000, 256
 #: Bytes that are compressed at once.
 CHUNK = 4096
 #: Share of the size by which the best language must beat the next one; below it the document is rejected.
+#: On held-out rows of sf0.1 all values from 0.001 to 0.006 reject the same rows.
 MIN_MARGIN = 0.004
 
 _FOLD = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
@@ -21,8 +22,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def fold(text: str) -> bytes:
-    """Each word of the whole text once, in lower case and order: a repeated word would only match itself."""
-    return b" " + b" ".join(dict.fromkeys(text.lower().encode("utf-8", "replace").translate(_FOLD).split())) + b" "
+    """The words of the whole text in lower case and order, repeats too: what is said in more chunks weighs more."""
+    return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split()) + b" "
 
 
 class Languages:

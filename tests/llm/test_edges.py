@@ -142,6 +142,16 @@ def test_classifier_edges(spark, empty):
         assert {r.doc_id: r.lang_pred for r in rows if r.doc_id in (2, 3, 4, 1)} == {1: "en", 2: "und", 3: "und", 4: "und"}
 
 
+def test_repeated_text_weighs_in_its_language():
+    rng = random.Random(8)
+    vocabulary = {"a": "ka lo mi tu ne sa ro vi".split(), "b": "schr und icht ung ach eim orz pfl".split()}
+    word = lambda lang: "".join(rng.choice(vocabulary[lang]) for _ in range(rng.randrange(2, 5)))
+    model = langid.Languages({lang: langid.fold(" ".join(word(lang) for _ in range(4000))) for lang in vocabulary})
+    sizes, own = model.sizer(), [word("a") for _ in range(120)]
+    text = " ".join(own * 30 + [word("b") for _ in range(400)])
+    assert langid.fold("One two, ONE") == b" one two one " and langid.judge(sizes, True, text)[0] == "a"
+
+
 def test_toxicity_learns_new_words(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
