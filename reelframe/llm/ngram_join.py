@@ -103,21 +103,52 @@ class Union:
             self.up[max(x, y)] = min(x, y)
 
 
-def tile_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning set of the links between two tiles, or within one (right None).
-
-    Rows are in order of size, so a row's partners by size are one run. Of the
-    run, the bitmaps bound the overlap from above: shingles of a whose bit b
-    lacks are surely not in b. What passes, and isn't connected yet, is tested
-    exactly.
+class Overlaps:
+    """Shared shingles of a row with many others: each shingle gets a number, so that a row's are marks in a table."""
+
+    def __init__(self, left: list[np.ndarray], right: list[np.ndarray]):
+        _, at = np.unique(np.concatenate(left + right), return_inverse=True)
+        ends = np.cumsum([len(s) for s in left + right])
+        self.codes = [at[e - len(s) : e].astype(np.int32) for e, s in zip(ends, left + right)]
+        self.left, self.right = self.codes[: len(left)], self.codes[len(left) :] or self.codes
+        self.flat = np.concatenate(self.right)
+        self.at = np.concatenate([[0], np.cumsum([len(s) for s in self.right])])
+        self.mark = np.zeros(int(at.max()) + 1, np.uint8)
+
+    def of(self, i: int, with_: np.ndarray) -> np.ndarray:
+        """How many shingles row i of left shares with each of these rows (ascending) of right."""
+        lo, hi = int(with_[0]), int(with_[-1]) + 1
+        self.mark[self.left[i]] = 1
+        if 2 * len(with_) > hi - lo:
+            starts = self.at[lo:hi]
+            both = np.add.reduceat(self.mark[self.flat[starts[0] : self.at[hi]]], starts - starts[0], dtype=np.int64)[with_ - lo]
+        else:
+            starts = np.concatenate([[0], np.cumsum(self.at[with_ + 1] - self.at[with_])[:-1]])
+            both = np.add.reduceat(self.mark[np.concatenate([self.right[j] for j in with_.tolist()])], starts, dtype=np.int64)
+        self.mark[self.left[i]] = 0
+        return both
+
+
+def tile_links(left: list[tuple], right: list[tuple] | None, percent: int = PERCENT, counted: bool = True) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(a spanning set of the links, links of each row) between two tiles, or within one (right None).
+
+    A row is (doc_id, shingles, copies); a link counts as many times as the
+    partner has copies. Rows are in order of size, so a row's partners by size
+    are one run. Of the run, the bitmaps bound the overlap from above: shingles
+    of a whose bit b lacks are surely not in b. What passes is tested exactly;
+    where links aren't counted, only if it isn't connected yet.
     """
-    same, out, group = right is None, [], Union()
+    same, out, overlaps = right is None, [], None
     left = sorted(left, key=lambda r: (len(r[1]), r[0]))
     right = left if same else sorted(right, key=lambda r: (len(r[1]), r[0]))
-    size = np.array([len(s) for _, s in right])
-    bits = np.array([signature(s) for _, s in right])
+    size = np.array([len(r[1]) for r in right])
+    bits = np.array([signature(r[1]) for r in right])
     filled = np.bitwise_count(bits).sum(1).astype(np.int64) if len(bits) else size
-    for i, (doc, s) in enumerate(left):
+    base = 0 if same else len(left)
+    group = np.arange(base + len(right))  # of each row of left, then of right, the least row that links reach
+    links = np.zeros(len(group), np.int64)
+    copies = np.array([r[2] for r in right], np.int64)
+    for i, (doc, s, own_copies) in enumerate(left):
         n = len(s)
         lo = i + 1 if same else int(np.searchsorted(size, -(-n * percent // 100)))
         hi = int(np.searchsorted(size, n * 100 // percent, side="right"))
@@ -127,12 +158,30 @@ def tile_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nda
         common = np.bitwise_count(bits[lo:hi] & own).sum(1).astype(np.int64)
         # every bit set by a only, or by b only, is at least one shingle outside the overlap
         most = np.minimum(n - (np.bitwise_count(own).sum() - common), size[lo:hi] - (filled[lo:hi] - common))
-        for j in (np.flatnonzero((100 + percent) * most >= percent * (n + size[lo:hi])) + lo).tolist():
-            other = right[j][0]
-            if group.find(doc) != group.find(other) and linked(s, right[j][1], percent):
-                group.join(doc, other)
-                out.append((doc, other))
-    return out
+        found = np.flatnonzero((100 + percent) * most >= percent * (n + size[lo:hi])) + lo
+
+        def join(j):
+            x, y = sorted((group[i], group[base + j]))
+            group[group == y] = x
+            out.append((doc, right[j][0]))
+
+        if not counted:
+            for j in found.tolist():
+                if group[i] != group[base + j] and linked(s, right[j][1], percent):
+                    join(j)
+            continue
+        if len(found) > 16:
+            overlaps = overlaps or Overlaps([r[1] for r in left], [] if same else [r[1] for r in right])
+            both = overlaps.of(i, found)
+            found = found[100 * both >= percent * (n + size[found] - both)]
+        else:
+            found = np.array([j for j in found.tolist() if linked(s, right[j][1], percent)], np.int64)
+        links[i] += copies[found].sum()
+        links[base + found] += own_copies
+        while len(apart := found[group[base + found] != group[i]]):
+            join(apart[0])
+    docs = [r[0] for r in (left if same else left + right)]
+    return out, [(d, n) for d, n in zip(docs, links.tolist()) if n]
 
 
 def _measure(docs: DataFrame, key: str) -> DataFrame:
@@ -161,22 +210,37 @@ def _arrays(docs: DataFrame) -> DataFrame:
         return lambda c: {
             "doc_id": c["doc_id"],
             "node": c["node"],
+            "copies": c["copies"],
             "s": [shingles(b.to_pybytes() if (b := t.as_buffer()) is not None else None, words).tobytes() for t in c["text"]],
         }
 
-    return map_rows(docs, ["doc_id", "node", "text"], "doc_id long, node long, s binary", task)
+    return map_rows(docs, ["doc_id", "node", "copies", "text"], "doc_id long, node long, copies long, s binary", task)
+
+
+def _in_tile(percent: int, counted: bool):
+    """All rows of one job: side 0 against itself, or side 0 against side 1 (that may be empty). Links are
+    (a, b, null), counts (a, null, n)."""
 
+    def run(_, rows):
+        sides: dict[int, list] = {0: [], 1: []}
+        alone = False
+        for _, side, doc, s, copies, alone in rows:
+            sides[side].append((doc, np.frombuffer(s, np.uint64), copies))
+        if sides[0] and (alone or sides[1]):
+            links, counts = tile_links(sides[0], None if alone else sides[1], percent, counted)
+            yield from ((a, b, None) for a, b in links)
+            yield from ((a, None, n) for a, n in counts)
 
-def _in_tile(_, rows):
-    """All rows of one job: side 0 against itself, or side 0 against side 1."""
-    sides: dict[int, list] = {0: [], 1: []}
-    for _, side, doc, s in rows:
-        sides[side].append((doc, np.frombuffer(s, np.uint64)))
-    yield from tile_links(sides[0], sides[1] or None)
+    return run
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: see the steps.
+    """doc_id, n_shingles and component_id of every row, by jaccard_links without the count."""
+    return _join(docs, percent, with_links=False)
+
+
+def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (other doc_ids it links with) of every row: see the steps.
 
     1. One pass makes each text's set, its digest and its candidate keys.
     2. Equal sets become one class, whose least doc_id stands for it.
@@ -184,21 +248,34 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     4. A candidate group is cut into tiles by size band and, where a band
        holds too many shingles, by hash; tiles of one band or of neighbouring
        bands meet in one job each. A job compares bitmaps, then exact arrays.
-    5. Links make components; every row of a class gets its class's.
+       Each pair of classes meets in one job, which counts its link for both.
+    5. Links make components; every row of a class gets its class's. Its links
+       are its class's, each as often as the other class has copies, and its
+       own class's other copies.
 
     Null or empty text, or text without words: no shingles, linked with nothing,
     component_id is its own doc_id. A null doc_id keeps its row with a null
-    component_id. Rows that repeat come out each. Other columns are ignored.
+    component_id and n_links. Rows that repeat come out each. Other columns are
+    ignored.
     """
+    return _join(docs, percent, with_links=True)
+
+
+def _join(docs: DataFrame, percent: int, with_links: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = written(_measure(docs, "doc_id"))
     full = measured.where("n > 0 and doc_id is not null")
     classes = written(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
+    nodes = classes.select("h1", "h2", "n", "node", F.lit(1).cast("long").alias("copies"))
+    if with_links:
+        copies = full.select("h1", "h2", "n", "doc_id").distinct().groupBy("h1", "h2", "n").agg(F.count("*").alias("copies"))
+        nodes = written(nodes.drop("copies").join(copies.hint("merge"), ["h1", "h2", "n"]))
     exploded = classes.select("node", F.explode("keys").alias("key"))
     counted = exploded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1")
     stars = exploded.select("key", "node").join(counted.select("key", "pivot"), "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    groups = written(connected_components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("node")))
+    groups = connected_components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("node"))
+    groups = written(groups.join(nodes.select(F.col("node").alias("doc_id"), "copies").hint("merge"), "doc_id"))
 
     reps = docs.join(groups.hint("merge"), "doc_id")  # the groups grow with the table: one way at every size
     arrays = written(_arrays(reps).dropDuplicates(["doc_id"]))
@@ -215,7 +292,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     small = bands.where("band is null").select("node").distinct()
     large = bands.where("band is not null")
     # jobs: (group, band of side 0, its cut, band of side 1, its cut)
-    one = sized.join(small, "node").select(F.struct("node", F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).alias("c"), F.lit(0).alias("j")).alias("job"), F.lit(0).alias("side"), "doc_id", "s")
+    one = sized.join(small, "node").select(F.struct("node", F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).alias("c"), F.lit(0).alias("j")).alias("job"), F.lit(0).alias("side"), "doc_id", "s", "copies")
     here = sized.join(large, ["node", "band"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
     above = large.select("node", (F.col("band") - 1).alias("band"), F.col("cuts").alias("above"))
     below = large.select("node", (F.col("band") + 1).alias("band"), F.col("cuts").alias("below"))
@@ -231,15 +308,20 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     within = jobs(F.col("cuts"), lambda k: F.when(k >= own, job(at, own, at, k, 0)).otherwise(job(at, k, at, own, 1)))
     upward = F.when(F.col("above") > 0, jobs(F.col("above"), lambda k: job(at, own, at + 1, k, 0))).otherwise(F.array().cast(within_type()))
     downward = F.when(F.col("below") > 0, jobs(F.col("below"), lambda k: job(at - 1, k, at, own, 1))).otherwise(F.array().cast(within_type()))
-    many = here.select(F.explode(F.concat(within.cast(within_type()), upward, downward)).alias("x"), "doc_id", "s").select("x.job", "x.side", "doc_id", "s")
-    tiles = one.union(many).select(F.xxhash64("job").alias("h"), "side", "doc_id", "s")
-    links = written(stream_groups(tiles, ["h"], ["side"], "a long, b long", _in_tile))
-    found = connected_components(links)
-    placed = classes.join(found, classes["node"] == found["node"], "left").select("h1", "h2", "n", F.coalesce("component", classes["node"]).alias("component"))
-    return (
-        measured.join(placed, ["h1", "h2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id"))
-    )
+    many = here.select(F.explode(F.concat(within.cast(within_type()), upward, downward)).alias("x"), "doc_id", "s", "copies").select("x.job", "x.side", "doc_id", "s", "copies")
+    alone = F.expr("job.b = job.c and job.i = job.j")
+    tiles = one.union(many).select(F.xxhash64("job").alias("h"), "side", "doc_id", "s", "copies", alone.alias("alone"))
+    links = written(stream_groups(tiles, ["h"], ["side"], "a long, b long, n long", _in_tile(percent, with_links)))
+    found = connected_components(links.where("b is not null").select("a", "b"))
+    placed = nodes.join(found, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("component"))
+    if with_links:
+        others = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+        placed = placed.join(others, "node", "left").withColumn("links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id")
+    n_links = [F.when(known, F.coalesce("links", F.lit(0))).alias("n_links")] if with_links else []
+    placed = placed.select("h1", "h2", "n", "component", *(["links"] if with_links else []))
+    return measured.join(placed, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component, *n_links)
 
 
 def within_type() -> str:

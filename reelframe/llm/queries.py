@@ -20,7 +20,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    # the contract's columns; n_links is made with them
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import check_packing, contamination_brute, jaccard_brute
+from helpers import check_packing, contamination_brute, jaccard_brute, shingle_sets
 from pyspark.sql import functions as F
 
 from reelframe.llm import chat, decontam, embedding_dedup, html_extract, langid, ngram_join, packing, quality, sharding, toxicity
@@ -63,6 +63,28 @@ def test_ngram_join_of_near_copies(spark, tile, monkeypatch):
     assert got == jaccard_brute(rows)
 
 
+@pytest.mark.parametrize("tile", [1 << 21, 600])
+def test_ngram_join_counts_all_links(spark, tile, monkeypatch):
+    """Groups of near copies with exact copies among them, a row that repeats, in one tile and in many."""
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", tile)
+    rng, rows = random.Random(11), [(-3, None), (-2, ""), (None, "a b c d e"), (-1, "a b c d e")]
+    for g in range(4):
+        first = [f"g{g}x{rng.randrange(400)}" for _ in range(60)]
+        for _ in range(45):
+            text = list(first)
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(text)))
+    rows.append(rows[-1])
+    sets = {i: s for i, s in shingle_sets([r for r in rows if r[0] is not None]).items()}
+    linked = lambda a, b: 100 * len(a & b) >= 85 * len(a | b) > 0
+    expected = {i: sum(i != j and linked(s, t) for j, t in sets.items()) for i, s in sets.items()}
+    got = ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.n_links for r in got} == expected | {None: None}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == jaccard_brute([r for r in rows if r[0] is not None])
+    assert max(expected.values()) > 20
+
+
 def test_the_bitmap_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(200):
