@@ -30,6 +30,8 @@ _DROP_WORDS = set(
     "nav navbar navigation menu menubar sidebar side footer ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist disqus replies reply respond reactions social share sharing related recommended breadcrumb breadcrumbs pagination pager widget toolbar skip masthead complementary contentinfo".split()
 )
 _HEADER_WORDS = {"header", "topbar"}
+#: Share of the page's text that a form, or a container marked by a part of a word such as with-sidebar, must hold to be kept.
+MOST = 2 / 3
 
 
 class Page:
@@ -39,7 +41,11 @@ class Page:
         # of each container: parent, path, dropped, score, whether article or main stands above
         self.nodes: list[list] = [[-1, "", False, 0.0, False]]
         self.blocks: list[tuple[int, str]] = []
+        self.worth: list[int] = []
+        self.marks: list[int] = [0]  # of each container: 0 not marked as dropped, 1 weakly, 2 by a wrapper's word, 3 for sure
+        self.tags: list[str] = [""]
         self._parse(source or "")
+        self._weigh()
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = []  # (element, its container)
@@ -54,12 +60,7 @@ class Page:
                 if got:
                     at = stack[-1][1] if stack else 0
                     self.blocks.append((at, got))
-                    node = self.nodes[at]
-                    if not node[2]:
-                        worth = max(0, len(got) - 2 * linked)
-                        node[3] += worth
-                        if node[0] > 0:
-                            self.nodes[node[0]][3] += worth / 2
+                    self.worth.append(max(0, len(got) - 2 * linked))
                 text.clear()
             linked = 0
 
@@ -136,6 +137,7 @@ class Page:
     def _open(self, name: str, attributes: str, parent: int) -> int:
         up = self.nodes[parent]
         words: set[str] = set()
+        tokens: set[str] = set()
         classes, hidden = "", False
         if attributes and not attributes.isspace():
             for a in _CLASS.finditer(attributes):
@@ -144,17 +146,57 @@ class Page:
                     parts = [x for x in re.split(r"[^a-z0-9]+", value) if x]
                     words.update(parts)
                     words.update(re.sub(r"\d+", "", x) for x in parts)
+                    tokens.update(y for x in value.split() for y in (x, re.sub(r"\d+", "", x)))
                     if key == "class":
                         classes = ".".join(sorted({re.sub(r"\d+", "#", x) for x in value.split()}))
                 else:
                     hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
         whole = name in ("html", "body", "article", "main")
-        drop = up[2] or hidden or name in _DROP or (not whole and bool(words & _DROP_WORDS)) or (not up[4] and not whole and (name == "header" or bool(words & _HEADER_WORDS)))
-        if name in _LEAF and drop == up[2]:
+        header = not up[4] and not whole and (name == "header" or bool(words & _HEADER_WORDS))
+        mark = 0
+        if hidden or (name in _DROP and name != "form"):
+            mark = 3
+        elif not whole and (header or tokens & _DROP_WORDS):
+            mark = 2
+        elif not whole and (name == "form" or words & _DROP_WORDS):
+            mark = 1
+        if name in _LEAF and not mark:
             return parent
-        self.nodes.append([parent, f"{up[1]}/{name}{'.' if classes else ''}{classes}", drop, 0.0, up[4] or name in ("article", "main")])
+        self.nodes.append([parent, f"{up[1]}/{name}{'.' if classes else ''}{classes}", False, 0.0, up[4] or name in ("article", "main")])
+        self.marks.append(mark)
+        self.tags.append(name)
         return len(self.nodes) - 1
 
+    def _weigh(self) -> None:
+        """Settle what is dropped, then score. A marked wrapper that holds main or the page's only article isn't
+        dropped, nor is a weakly marked one that holds most of the text; elements of _DROP and what is hidden always are."""
+        sure: list[bool] = []
+        for i, n in enumerate(self.nodes):
+            sure.append(self.marks[i] == 3 or (n[0] >= 0 and sure[n[0]]))
+        held = [0] * len(self.nodes)
+        for (at, _), worth in zip(self.blocks, self.worth):
+            if not sure[at]:
+                held[at] += worth
+        seen = [i for i, t in enumerate(self.tags) if not sure[i]]
+        mains, articles = [i for i in seen if self.tags[i] == "main"], [i for i in seen if self.tags[i] == "article"]
+        holds = set()
+        for i in mains + (articles if len(articles) == 1 else []):
+            while i > 0:
+                i = self.nodes[i][0]
+                holds.add(i)
+        for i in range(len(self.nodes) - 1, 0, -1):
+            held[self.nodes[i][0]] += held[i]
+        for i, n in enumerate(self.nodes):
+            mark = self.marks[i]
+            kept = mark == 0 or (mark < 3 and i in holds) or (mark == 1 and held[0] > 0 and held[i] >= MOST * held[0])
+            n[2] = not kept or (n[0] >= 0 and self.nodes[n[0]][2])
+        for (at, _), worth in zip(self.blocks, self.worth):
+            node = self.nodes[at]
+            if not node[2]:
+                node[3] += worth
+                if node[0] > 0:
+                    self.nodes[node[0]][3] += worth / 2
+
     def ranked(self) -> list[tuple[float, str]]:
         """(score, path) of the best containers, best first; article and main weigh more."""
         scores = [(n[3] * (1.5 if re.search(r"/(?:article|main)[^/]*$", n[1]) else 1.0), -i, n[1]) for i, n in enumerate(self.nodes) if n[3] > 0 and not n[2]]
