@@ -52,6 +52,26 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+#: A key that holds more than one part in HOT of a table's rows is hot; there are fewer than HOT of those.
+HOT = 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """left join right on `on`, where right has a row for each key with the number of left rows in `count`.
+
+    Rows of hot keys are joined by broadcast, so none of them lands in one task:
+    as only a key with more than total / HOT rows is hot, fewer than HOT rows are
+    ever broadcast. All other keys are joined by shuffle.
+    """
+    hot = right.where(F.col(count) * HOT > total)
+    cold = right.where(F.col(count) * HOT <= total)
+    names = [c for c in right.columns if c not in on]
+    marked = left.join(F.broadcast(hot.select(*on, F.struct(*names).alias("_hot"))), on, "left")
+    first = marked.where("_hot is not null").select(*left.columns, *[F.col(f"_hot.{c}").alias(c) for c in names])
+    rest = marked.where("_hot is null").drop("_hot").join(cold.hint("merge"), on, how)
+    return first.unionByName(rest.select(*first.columns))
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], Callable]) -> DataFrame:
     """mapInArrow over `columns`; fn() is called once a task and its result on each batch's dict of Arrow arrays.
 
