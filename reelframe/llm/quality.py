@@ -6,8 +6,9 @@ from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import keep_rows, map_rows
+from .common import keep_rows, map_rows, written
 from .sampling import labelled_sample
 
 #: Documented bounds: training rows of each class, code points of a training text, preference pairs.
@@ -50,11 +51,15 @@ def expand(m: np.ndarray) -> np.ndarray:
     return np.concatenate([m, np.sqrt(m), m * m], axis=1)
 
 
+#: Bins of the histogram of raw scores, over this many standard deviations of the sample's on either side.
+BINS, REACH = 4096, 8.0
+
+
 class Quality:
-    """raw = w . x; score = sigmoid(slope * (raw - cut)), where cut is a quantile of the raw scores."""
+    """raw = w . x; score = sigmoid(slope * (raw - cut)), where cut is a quantile of the raw scores of all documents."""
 
-    def __init__(self, mean, scale, w, cut: float, slope: float):
-        self.mean, self.scale, self.w, self.cut, self.slope = mean, scale, w, cut, slope
+    def __init__(self, mean, scale, w, cut: float, slope: float, spread: float = 1.0):
+        self.mean, self.scale, self.w, self.cut, self.slope, self.spread = mean, scale, w, cut, slope, spread
 
     def raw(self, m: np.ndarray) -> np.ndarray:
         return ((expand(m) - self.mean) / self.scale) @ self.w
@@ -62,6 +67,9 @@ class Quality:
     def score(self, m: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.raw(m) - self.cut), -30, 30)))
 
+    def with_cut(self, cut: float) -> Quality:
+        return Quality(self.mean, self.scale, self.w, cut, self.slope, self.spread)
+
 
 def bradley_terry(better: np.ndarray, worse: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Weights whose score differences explain the preferences, by Newton steps on the logistic loss."""
@@ -78,8 +86,8 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, l2: float = 1e-3, round
     return w
 
 
-def fit_measures(m: np.ndarray, y: np.ndarray, prior: float, pairs: int = PAIRS, seed: int = 7) -> Quality:
-    """m: measures of labelled rows; y: 1 better, 0 worse; prior: share of class 1 among all labels."""
+def fit_measures(m: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Quality:
+    """m: measures of labelled rows; y: 1 better, 0 worse. The cut is the middle of the classes' medians until documents set it."""
     x = expand(m) if len(m) else np.zeros((0, 42))
     if not len(y) or y.min() == y.max():
         k = x.shape[1] if len(x) else 42
@@ -89,23 +97,85 @@ def fit_measures(m: np.ndarray, y: np.ndarray, prior: float, pairs: int = PAIRS,
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     w = bradley_terry(z[rng.choice(good, pairs)], z[rng.choice(bad, pairs)])
     raw = z @ w
-    order = np.argsort(raw, kind="stable")
-    mass = np.cumsum(np.where(y == 1, prior / len(good), (1 - prior) / len(bad))[order])
-    k = min(int(np.searchsorted(mass, (1 - prior) - 1e-9)), len(raw) - 2)
-    cut = float((raw[order[k]] + raw[order[k + 1]]) / 2)
+    cut, spread = float((np.median(raw[good]) + np.median(raw[bad])) / 2), float(raw.std()) or 1.0
     slope = 4 / max(1e-6, float(np.abs(np.median(raw[good]) - np.median(raw[bad]))) / 2)
-    return Quality(mean, scale, w, cut, slope)
+    return Quality(mean, scale, w, cut, slope, spread)
+
+
+def quantile_cut(bins: np.ndarray, counts: np.ndarray, share: float, error: float) -> int:
+    """The first bin above the cut: the quantile at `share` of the rows, which is known to within `error`.
+
+    Of the cuts between the quantiles at share - error and share + error the one
+    is taken that has the fewest rows within a hundredth of the bins about it;
+    ties by the nearest to the quantile itself.
+    """
+    full = np.zeros(BINS, np.int64)
+    full[bins] = counts
+    below = np.concatenate([[0], np.cumsum(full)]) / max(1, full.sum())  # of each cut: the share of rows below it
+    lo = max(1, int(np.searchsorted(below, share - error, side="right")) - 1)
+    hi = min(BINS - 1, max(lo, int(np.searchsorted(below, share + error, side="left"))))
+    near = BINS // 200
+    sums = np.concatenate([[0], np.cumsum(full)])
+    cuts = np.arange(lo, hi + 1)
+    about = sums[np.minimum(cuts + near, BINS)] - sums[np.maximum(cuts - near, 0)]
+    return int(cuts[np.lexsort((np.abs(below[cuts] - share), about))[0]])
+
+
+def raw_scores(docs: DataFrame, model: Quality, key: str = "doc_id") -> DataFrame:
+    """key and raw score of each row's whole text."""
+    handed, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema[key].dataType.simpleString()
+
+    def task():
+        model = handed.value
+        return lambda c: {key: c[key], "raw": model.raw(np.array([measures(t.as_py()) for t in c["text"]])).tolist()}
+
+    return map_rows(docs, [key, "text"], f"`{key}` {kind}, raw double", task)
+
+
+def cut_at_quantile(raws: DataFrame, model: Quality, prior: float, labelled: int) -> Quality:
+    """The model with its cut at the quantile of all raw scores that leaves the labels' share of class 0 below it.
+
+    The labels tell that share to within two standard errors. The scores come as
+    a histogram of BINS bins, so a bounded number of rows reaches the driver.
+    """
+    low, width = model.cut - REACH * model.spread, 2 * REACH * model.spread / BINS
+    at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("raw") - low) / width))).cast("int")
+    counted = raws.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).collect()
+    if not counted or not labelled:
+        return model
+    bins, counts = np.array([r["bin"] for r in counted]), np.array([r["n"] for r in counted])
+    error = 2 * float(np.sqrt(prior * (1 - prior) / labelled))
+    return model.with_cut(low + width * quantile_cut(bins, counts, 1 - prior, error))
+
+
+def fit_ranking(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[Quality, float, int]:
+    """(the ranking, the share of class 1 among the labels, their number), from the bounded sample of labelled rows."""
+    texts, y, prior, labelled = labelled_sample(docs, labels, "quality", rows_per_class, max_chars)
+    y = np.array(y, dtype=int)
+    both = len(y) > 0 and y.min() < y.max()
+    return fit_measures(np.array([measures(t) for t in texts]), y), prior, labelled if both else 0
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> Quality:
-    """Fit on the bounded sample of labelled rows. Without labels of both classes every score is 0.5."""
-    texts, y, prior = labelled_sample(docs, labels, "quality", rows_per_class, max_chars)
-    return fit_measures(np.array([measures(t) for t in texts]), np.array(y, dtype=int), prior)
+    """The ranking with its cut, which is a quantile over all rows of docs. Without labels of both classes, or
+    without documents, every score is 0.5 or by the ranking's own middle."""
+    model, prior, labelled = fit_ranking(docs, labels, rows_per_class, max_chars)
+    return cut_at_quantile(raw_scores(docs, model), model, prior, labelled) if labelled else model
+
+
+def rank_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """fit_quality and score_quality in one pass over the texts: raw scores are written, cut at their quantile and
+    scored. key and score of every row, as score_quality gives them."""
+    model, prior, labelled = fit_ranking(docs, labels, rows_per_class, max_chars)
+    raws = written(raw_scores(docs, model, key))
+    model = cut_at_quantile(raws, model, prior, labelled)
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.slope * (F.col("raw") - model.cut)))
+    return raws.select(key, (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def score_quality(docs: DataFrame, model: Quality, key: str = "doc_id") -> DataFrame:
-    """key and score (0 to 1) of each row's whole text. Null text counts as empty; rows that repeat are
-    scored each; other columns are ignored."""
+    """key and score (0 to 1) of each row's whole text. Null text counts as empty; equal texts have equal scores,
+    and rows that repeat are scored each; an empty table gives no rows; other columns are ignored."""
     handed, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema[key].dataType.simpleString()
 
     def task():
@@ -116,7 +186,8 @@ def score_quality(docs: DataFrame, model: Quality, key: str = "doc_id") -> DataF
 
 
 def keep_quality(docs: DataFrame, model: Quality, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score is threshold or more."""
+    """The rows of docs, all columns, whose score is threshold or more. Null text counts as empty text, a null
+    doc_id is kept or dropped by its text, rows that repeat are judged each, and an empty table stays empty."""
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def task():
