@@ -6,11 +6,14 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import held_out, keep_rows, map_rows
+from .common import held_out, keep_rows, map_rows, written
 
-#: Documented bounds of the training sample: rows and bytes of a language, code points of a training text, languages.
-ROWS, DICT_BYTES, MAX_CHARS, LANGUAGES = 600, 112 * 1024, 40_000, 256
+#: Documented bounds of the training sample: rows and dictionary bytes of a language, code points of a training text.
+ROWS, DICT_BYTES, MAX_CHARS = 600, 112 * 1024, 40_000
+#: The same for all languages together: with more of them each has a smaller share, and none is left out.
+ALL_ROWS, ALL_BYTES = 60_000, 64 << 20
 #: Bytes that are compressed at once.
 CHUNK = 4096
 #: Share of the size by which the best language must beat the next one; below it the document is rejected.
@@ -54,24 +57,36 @@ class Languages:
         return sizes
 
 
-def fit_languages(docs: DataFrame, rows: int = ROWS, dict_bytes: int = DICT_BYTES, max_chars: int = MAX_CHARS) -> Languages:
-    """Dictionaries from at most `rows` rows a language (those of least hash) that are not held out and have a
-    language and a text. The share to read is set by the languages' counts, so the sample that comes to the
-    driver is bounded however many documents there are."""
-    known = docs.where(~held_out("doc_id", 4, 2)).where(F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    counts = dict(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    if not counts:
-        return Languages({})
-    point = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1_000_000, 10_000 + 2 * rows * 1_000_000 // n) if n > rows else 1_000_000)).otherwise(share)
-    most = {name: -(-dict_bytes // 1) for name in counts}
-    held: dict[str, list[bytes]] = {name: [] for name in counts}
-    picked = known.where(point < share).select("lang", "text", point.alias("point"), "doc_id")
-    for name, text, _, _ in sorted(picked.toLocalIterator(), key=lambda r: (r[2], r[3])):
-        if most[name] > 0 and len(held[name]) < rows and _LETTER.search(text):
-            data = fold(text)[: max(2048, most[name])]
+def training_rows(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS, all_rows: int = ALL_ROWS) -> DataFrame:
+    """lang, doc_id, text of at most `rows` documents a language, those of least hash of the id, that are not held
+    out and have a language and a text with a letter that isn't longer than max_chars.
+
+    Ids alone are ranked: a rank limit cuts each task's rows before the shuffle,
+    so a language that holds most rows isn't sorted by one task. A document
+    that has several texts counts by the one of least hash.
+    """
+    known = docs.where(~held_out("doc_id", 4, 2)).where(F.col("lang").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
+    known = known.select("lang", "doc_id", "text")
+    ids = known.groupBy("lang", "doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    least = written(ids.withColumn("rank", rank).where(F.col("rank") <= rows))
+    languages = least.where("rank = 1").count()
+    picked = least.where(F.col("rank") <= max(1, all_rows // max(1, languages))).select("lang", "doc_id", "h")
+    both = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "doc_id", "h"])
+    return both.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+
+def fit_languages(docs: DataFrame, rows: int = ROWS, dict_bytes: int = DICT_BYTES, max_chars: int = MAX_CHARS, all_rows: int = ALL_ROWS, all_bytes: int = ALL_BYTES) -> Languages:
+    """Dictionaries of all languages, each of at most dict_bytes from at most `rows` rows; all_rows and all_bytes
+    bound what reaches the driver and what it broadcasts, however many documents and languages there are."""
+    got = training_rows(docs, rows, max_chars, all_rows).withColumn("at", F.xxhash64("doc_id")).collect()
+    names = sorted({r["lang"] for r in got})
+    most = {name: max(256, min(dict_bytes, all_bytes // len(names))) for name in names}
+    held: dict[str, list[bytes]] = {name: [] for name in names}
+    for r in sorted(got, key=lambda r: (r["at"], str(r["doc_id"]))):
+        name = r["lang"]
+        if most[name] > 0:
+            data = fold(r["text"])[: max(2048, most[name])]
             held[name].append(data)
             most[name] -= len(data)
     return Languages({name: b" ".join(x) for name, x in held.items() if x})
@@ -89,9 +104,11 @@ def detect(docs: DataFrame, model: Languages, key: str = "doc_id", min_margin: f
     """key, lang_pred, score (0 to 1), margin (share of the size by which the best beats the next) and rejected.
 
     Null text, or text without a letter: `und`, score 0, rejected. A narrow
-    margin sets rejected and leaves the best guess in lang_pred. With one
-    language learnt its margin is 1; with none all rows are `und`. Rows that
-    repeat are judged each; other columns are ignored.
+    margin sets rejected and leaves the best guess in lang_pred; equal sizes
+    are a tie, which goes to the first language by name with a margin of 0.
+    With one language learnt its margin is 1; with none all rows are `und`.
+    Rows that repeat are judged each, an empty table gives no rows, other
+    columns are ignored.
     """
     handed, kind = docs.sparkSession.sparkContext.broadcast(model), docs.schema[key].dataType.simpleString()
 
@@ -114,7 +131,8 @@ def detect(docs: DataFrame, model: Languages, key: str = "doc_id", min_margin: f
 
 
 def keep_known(docs: DataFrame, model: Languages, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of docs, all columns, that detect() doesn't reject."""
+    """The rows of docs, all columns, that detect() doesn't reject. Null text and text without a letter go, a null
+    doc_id is judged by its text, rows that repeat are judged each, and an empty table stays empty."""
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def task():
