@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import keep_rows, map_rows, written
+from pyspark.sql.pandas.types import to_arrow_schema
 
 WINDOW = 13
-#: Bytes of benchmark text that one automaton may hold; a larger benchmark is scanned in blocks of items.
-BLOCK_BYTES = 1 << 20
+#: Bytes of benchmark text that one automaton may hold, and of texts that a task keeps while it goes through
+#: the automata of a benchmark that needs several.
+BLOCK_BYTES, HELD_BYTES = 4 << 20, 64 << 20
 
 #: UTF-8 bytes of a word are 0-9, a-z and all of 0x80 and above; A-Z are lower-cased, others part words.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -23,37 +25,64 @@ def words(data: bytes | None) -> list[bytes]:
     return data.translate(_FOLD).split() if data else []
 
 
-def windows(item: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """All runs of `size` words; a shorter item, but not an empty one, is one window."""
-    return [tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))] if item else []
-
-
 class Scanner:
-    """An automaton over word numbers: a node is a word, so a hit's place is a word index."""
+    """An automaton over word numbers: a node is a word, so a hit's place is a word index.
+
+    An item shorter than a window is a key itself. Of a longer one the keys are
+    its aligned seeds, runs of half a window's words that begin at every
+    multiple of their length: each window holds one of them whole. So the
+    automaton has about one node a word, not one for each word of each window.
+    Where a seed is found, the words about it decide exactly which windows of
+    the item are there. Seeds that stand in equal surroundings are one entry.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
         import ahocorasick
 
+        self.size, self.seed = size, (size + 1) // 2
+        self.reach = size - self.seed  # words on either side that a window about a seed can have
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        whole: dict[tuple[int, ...], set[str]] = {}
+        about: dict[tuple[int, ...], dict[tuple[int, ...], set[str]]] = {}
         for name, text in items:
-            for w in windows(words(text), size):
-                found.setdefault(tuple(self.ids.setdefault(x, len(self.ids) + 1) for x in w), set()).add(name)
+            item = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
+            if len(item) < size:
+                if item:
+                    whole.setdefault(tuple(item), set()).add(name)
+                continue
+            padded = [-1] * self.reach + item + [-1] * self.reach
+            for i in range(0, len(item) - self.seed + 1, self.seed):
+                around = (*padded[i : i + self.reach], *padded[i + self.reach + self.seed : i + size + self.reach])
+                about.setdefault(tuple(item[i : i + self.seed]), {}).setdefault(around, set()).add(name)
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, names in found.items():
-            self.auto.add_word(key, (len(key), names))
-        self.empty = not found
-        if found:
+        for key in whole.keys() | about.keys():
+            around = about.get(key)
+            table = (np.array(list(around), np.int64).reshape(len(around), -1), [frozenset(x) for x in around.values()]) if around else None
+            self.auto.add_word(key, (len(key), frozenset(whole.get(key, ())), table))
+        self.empty = not len(self.auto)
+        if not self.empty:
             self.auto.make_automaton()
 
     def scan(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """(merged word ranges that windows cover, names of the items)."""
         if self.empty or not text:
             return [], set()
-        get, ranges, names = self.ids.get, [], set()
-        for end, (n, who) in self.auto.iter(tuple([get(w, 0) for w in text])):
-            names |= who
-            ranges.append((end - n + 1, end + 1))
+        get, ranges, names, padded = self.ids.get, [], set(), None
+        numbers = tuple([get(w, 0) for w in text])
+        for end, (n, who, table) in self.auto.iter(numbers):
+            at = end - n + 1
+            if who:
+                names |= who
+                ranges.append((at, end + 1))
+            if table:
+                if padded is None:
+                    padded = np.array((0,) * self.reach + numbers + (0,) * self.reach, np.int64)
+                r = self.reach
+                left = np.cumprod(table[0][:, :r][:, ::-1] == padded[at : at + r][::-1], axis=1).sum(1)
+                right = np.cumprod(table[0][:, r:] == padded[at + r + n : at + r + n + r], axis=1).sum(1)
+                for k in np.flatnonzero(left + right >= r).tolist():
+                    names |= table[1][k]
+                    ranges.append((at - int(left[k]), end + 1 + int(right[k])))
         return merged(ranges), names
 
 
@@ -78,46 +107,59 @@ def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
 _SCHEMA = "n_words long, ranges array<struct<lo:long,hi:long>>, items array<string>, spans array<struct<start:long,end:long>>"
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, bytes]], first: bool, key: str, last: bool, size: int) -> DataFrame:
-    handed = docs.sparkSession.sparkContext.broadcast(items)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def task():
-        scanner = Scanner(handed.value, size)
-
-        def each(c):
-            out = {key: c[key], "n_words": [], "ranges": [], "items": [], "spans": []}
-            if not last:
-                out["text"] = c["text"]
-            for i, value in enumerate(c["text"]):
-                text = value.as_buffer()
-                split = words(text.to_pybytes() if text is not None else None)
-                ranges, names = scanner.scan(split)
-                if not first:
-                    ranges = merged(ranges + [(x["lo"], x["hi"]) for x in c["ranges"][i].as_py()])
-                    names |= set(c["items"][i].as_py())
-                out["n_words"].append(len(split))
-                out["ranges"].append([{"lo": lo, "hi": hi} for lo, hi in ranges])
-                out["items"].append(sorted(names))
-                out["spans"].append([{"start": a, "end": b} for a, b in char_spans(text.to_pybytes().decode(), ranges)] if last and ranges else [])
-            return out
-
-        return each
+def _blocks(benchmark: DataFrame, block_bytes: int):
+    """Broadcasts of the items that have an id and a text, each of about block_bytes of text or one item."""
+    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("id"), "text")
+    total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    out = []
+    for i in range(blocks):
+        part = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i) if blocks > 1 else known
+        out.append(known.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in part.toLocalIterator()]))
+    return out
 
-    columns = [key, "text"] + ([] if first else ["ranges", "items"])
-    return map_rows(docs, columns, f"`{key}` {kind}, {'' if last else 'text string, '}{_SCHEMA}", task)
 
+def _scans(batches, column: int, handed: list, size: int):
+    """(batch, [(words, ranges, names) of each row]) of each Arrow batch.
 
-def _known(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """(items that have an id and a text, the number of blocks of at most about block_bytes that they make)."""
-    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("id"), "text")
-    total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return known, max(1, -(-total // block_bytes))
+    With one block of items a text is scanned as it comes. With more, a task
+    keeps up to HELD_BYTES of texts and takes them through one automaton after
+    the other, so that it holds one automaton at a time and reads a text once.
+    """
+    one = Scanner(handed[0].value, size) if len(handed) == 1 else None
+    held, weight = [], 0
+
+    def texts(batch):
+        for t in batch.column(column):
+            yield b.to_pybytes() if (b := t.as_buffer()) is not None else None
+
+    def flush():
+        found = [[(len(words(t)), [], set()) for t in texts(batch)] for batch in held]
+        for block in handed:
+            scanner = Scanner(block.value, size)
+            for batch, rows in zip(held, found):
+                for k, t in enumerate(texts(batch)):
+                    ranges, names = scanner.scan(words(t))
+                    if ranges:
+                        rows[k] = (rows[k][0], merged(rows[k][1] + ranges), rows[k][2] | names)
+        yield from zip(held, found)
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):  # slices bound what a batch of long texts adds at once
+            part = batch.slice(lo, 256)
+            if one:
+                yield part, [(len(w), *one.scan(w)) for w in map(words, texts(part))]
+                continue
+            held.append(part)
+            weight += part.nbytes
+            if weight >= HELD_BYTES:
+                yield from flush()
+                held, weight = [], 0
+    if held:
+        yield from flush()
 
 
-def _block(known: DataFrame, blocks: int, i: int) -> list[tuple[str, bytes]]:
-    part = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i) if blocks > 1 else known
-    return [(r[0], r[1].encode()) for r in part.toLocalIterator()]
+_SCHEMA = "n_words long, ranges array<struct<lo:long,hi:long>>, items array<string>, spans array<struct<start:long,end:long>>"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -125,20 +167,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     cover), items (their ids as sorted strings), spans (the ranges as code-point offsets of the
     original text).
 
-    The text is read once for each block of the benchmark, and a block holds at
-    most block_bytes of item text, so the broadcast is bounded; the usual
-    benchmark is one block. Null or empty text: no words, no hits. Items with
-    a null id or without words are never found; items that repeat count once.
-    Other columns of either table are ignored; an empty benchmark finds nothing.
+    One pass over the texts without a shuffle, whatever the benchmark's size; a
+    benchmark beyond block_bytes is scanned by several automata in turn, see
+    _scans. Null or empty text: no words, no hits. Items with a null id or
+    without words are never found; items that repeat count once. Rows that
+    repeat come out each, an empty table gives no rows. Other columns of either
+    table are ignored; an empty benchmark finds nothing.
     """
-    known, blocks = _known(benchmark, block_bytes)
-    docs = docs.select(key, "text")
-    for i in range(blocks):
-        items = _block(known, blocks, i)
-        docs = _pass(docs, items, i == 0, key, i == blocks - 1, size)
-        if i < blocks - 1:
-            docs = written(docs)
-    return docs
+    handed = _blocks(benchmark, block_bytes)
+    schema = docs.sparkSession.createDataFrame([], f"`{key}` {docs.schema[key].dataType.simpleString()}, {_SCHEMA}").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch, found in _scans(batches, 1, handed, size):
+            spans = [char_spans(t.as_py(), ranges) if ranges else [] for t, (_, ranges, _) in zip(batch.column(1), found)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(arrow.field(0).type),
+                    pa.array([n for n, _, _ in found], arrow.field(1).type),
+                    pa.array([[{"lo": lo, "hi": hi} for lo, hi in ranges] for _, ranges, _ in found], arrow.field(2).type),
+                    pa.array([sorted(names) for _, _, names in found], arrow.field(3).type),
+                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], arrow.field(4).type),
+                ],
+                schema=arrow,
+            )
+
+    return docs.select(key, "text").mapInArrow(run, schema)
 
 
 def n_hit(ranges="ranges"):
@@ -157,24 +211,14 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated. With one block of items this is one pass without
-    a shuffle; with more, the blocks are scanned in turn and contaminated keys are joined away (rows of a null key stay)."""
-    known, blocks = _known(benchmark, block_bytes)
-    if blocks > 1:
-        found = digest(find_contamination(docs, benchmark, key, WINDOW, block_bytes), key)
-        return docs.join(found.where("contaminated").select(key), key, "left_anti").select(*docs.columns)
-    handed = docs.sparkSession.sparkContext.broadcast(_block(known, 1, 0))
-
-    def task():
-        scanner = Scanner(handed.value)
-
-        def clean(t) -> bool:
-            text = t.as_buffer()
-            split = words(text.to_pybytes() if text is not None else None)
-            hit = sum(hi - lo for lo, hi in scanner.scan(split)[0])
-            return not (hit and 20 * hit >= len(split))
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated, in one pass without a shuffle. Null and empty texts
+    stay, a null doc_id is judged by its text, rows that repeat are judged each; empty tables are fine."""
+    handed, at = _blocks(benchmark, block_bytes), docs.columns.index("text")
 
-        return lambda texts: [clean(t) for t in texts]
+    def run(batches):
+        for batch, found in _scans(batches, at, handed, size):
+            hits = [(n, sum(hi - lo for lo, hi in ranges)) for n, ranges, _ in found]
+            yield batch.filter(pa.array([not (hit and 20 * hit >= n) for n, hit in hits], pa.bool_()))
 
-    return keep_rows(docs, "text", task)
+    return docs.mapInArrow(run, docs.schema)
