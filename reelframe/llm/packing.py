@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import heapq
+import json
 import re
 import struct
 import zlib
@@ -18,8 +20,8 @@ from .common import map_rows
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
-#: Tokens that a task holds before it packs them, and sequences that make a step group.
-POOL_TOKENS = 1 << 20
+#: Tokens that a task holds before it packs them, and tokens of a step group.
+POOL_TOKENS, STEP_TOKENS = 1 << 20, 1 << 18
 #: Distinct chunks whose ids a Python worker remembers, and bytes of text that it splits at once.
 CACHE, SLICE_BYTES = 400_000, 8 << 20
 
@@ -34,6 +36,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The normaliser and pre-tokenizer that the chunks follow, as the tokenizer's file states them.
+CHUNKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def _byte_characters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,10 +59,11 @@ def _byte_characters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts, by way of the distinct chunks of a slice of texts.
 
-    The tokenizer's pre-tokenizer never joins characters across a space, tab or
+    A pre-tokenizer as in CHUNKED never joins characters across a space, tab or
     line feed, so a text's ids are those of its chunks one after another. A new
     chunk of simple characters goes to the tokenizer's model piece by piece; any
-    other chunk goes through the whole tokenizer.
+    other chunk goes through the whole tokenizer. With any other tokenizer file
+    every text goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,6 +71,9 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.model, self.alphabet = self.tokenizer.model, _byte_characters()
+        stated = json.loads(self.tokenizer.to_str())
+        special = all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in stated["added_tokens"])
+        self.chunked = special and all(stated[k] == v for k, v in CHUNKED.items()) and stated["truncation"] is None
 
     def chunk(self, c: bytes) -> bytes:
         """The ids of a chunk; c is the key under which they are remembered."""
@@ -76,6 +95,8 @@ class Encoder:
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids, without the end id; null is empty. Texts come as an Arrow string array."""
+        if not self.chunked:
+            return [np.asarray(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
         if len(self.known) > CACHE:
             self.known.clear()
         out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
@@ -118,54 +139,75 @@ class Packer:
     """Packs documents in the order they come; holds at most pool_tokens and one document.
 
     Routing: whole windows of the largest tier are cut from a long document and
-    its rest goes to the smallest tier that holds it. Each tier's windows are
-    packed from its own documents; a gap takes the longest fitting document of
-    the shorter tiers, and when none fits, a piece cut from the longest one
-    left, so that only the last windows of a pool can end short. What is left
-    of those is cut to powers of two, which are not padded.
+    its rest goes to the smallest tier that holds it. Tiers are packed from the
+    longest down. Each document of a tier that no longer window has taken opens
+    a window of its tier; the gap takes the longest fitting documents of the
+    shorter tiers, and when none fits, a piece cut from the longest one left, so
+    that only the last windows of a pool can end short. What is left of those is
+    cut to powers of two, which are not padded.
+
+    A pool's sequences are dealt to step groups, the longest first and each to
+    the group with fewest tokens, so a group has its share of each tier.
     """
 
-    def __init__(self, tiers=TIERS, pool_tokens: int = POOL_TOKENS):
-        self.tiers, self.most, self.pool_tokens = sorted(tiers), max(tiers), pool_tokens
+    def __init__(self, tiers=TIERS, pool_tokens: int = POOL_TOKENS, step_tokens: int = STEP_TOKENS):
+        self.tiers, self.most, self.pool_tokens, self.step_tokens = sorted(tiers), max(tiers), pool_tokens, step_tokens
         self.pool: list[list[tuple]] = [[] for _ in self.tiers]
-        self.held = 0
+        self.whole: list[list[tuple]] = []  # finished windows of the largest tier
+        self.held = self.groups = 0
 
     def add(self, doc, ids: np.ndarray):
-        """doc: any label. Yields finished sequences: lists of (doc, start, ids)."""
+        """doc: any label. Yields (sequence, its step group); a sequence is a list of (doc, start, ids)."""
         start, n = 0, len(ids)
         while n - start >= self.most:
-            yield [(doc, start, ids[start : start + self.most])]
+            self.whole.append([(doc, start, ids[start : start + self.most])])
             start += self.most
         if start < n:
             self.pool[bisect.bisect_left(self.tiers, n - start)].append((doc, start, ids[start:]))
-            self.held += n - start
+        self.held += n
         if self.held >= self.pool_tokens:
             yield from self.flush()
 
     def flush(self):
-        shorter: list[tuple[int, int]] = []  # (length, number), sorted: what gaps may take
+        sequences = self.whole + list(self._windows())
+        lengths = [sum(len(p[2]) for p in s) for s in sequences]
+        count = max(1, round(sum(lengths) / self.step_tokens))
+        load = [(0, self.groups + g) for g in range(count)]
+        group = [0] * len(sequences)
+        for k in sorted(range(len(sequences)), key=lambda k: -lengths[k]):
+            tokens, g = load[0]
+            heapq.heapreplace(load, (tokens + lengths[k], g))
+            group[k] = g
+        self.groups += count
+        self.whole, self.held = [], 0
+        yield from zip(sequences, group)
+
+    def _windows(self):
+        free: list[tuple[int, int]] = []  # (length, number), sorted: the documents of the tiers below
         pieces: dict[int, tuple] = {}
         number = 0
 
         def give(piece):
             nonlocal number
             pieces[number] = piece
-            bisect.insort(shorter, (len(piece[2]), number))
+            bisect.insort(free, (len(piece[2]), number))
             number += 1
 
+        pool, self.pool = self.pool, [[] for _ in self.tiers]
+        for docs in pool:
+            for d in docs:
+                give(d)
         left: list[list] = []
-        own = [deque(sorted(p, key=lambda x: -len(x[2]))) for p in self.pool]
-        self.pool, self.held = [[] for _ in self.tiers], 0
-        for tier, docs in zip(self.tiers, own):
-            if tier == self.tiers[0]:
-                for d in docs:
-                    give(d)
-                docs = ()
-            for d in docs:  # the tier's own document opens a window, gaps are filled from below
+        for tier, floor in zip(reversed(self.tiers), [*reversed(self.tiers[:-1]), 0]):
+            while free and free[-1][0] > floor:
+                d = pieces.pop(free.pop()[1])  # the longest left: its tier's own
                 window, room = [d], tier - len(d[2])
-                while room and shorter:
-                    k = bisect.bisect_right(shorter, (room, number)) - 1
-                    length, which = shorter.pop(k if k >= 0 else -1)
+                while room and free:
+                    below = bisect.bisect_right(free, (floor, number)) if floor else len(free)  # documents of shorter tiers; in the last tier all
+                    if not below:
+                        break
+                    k = bisect.bisect_right(free, (room, number), hi=below) - 1
+                    length, which = free.pop(k if k >= 0 else below - 1)
                     doc, start, ids = pieces.pop(which)
                     if length > room:
                         give((doc, start + room, ids[room:]))
@@ -176,10 +218,9 @@ class Packer:
                     left.append(window)
                 else:
                     yield window
-        # the shortest tier and the windows that no shorter document could fill: one run, cut to powers of two
-        run = [p for w in left for p in w] + [pieces[i] for _, i in reversed(shorter)]
+        # the windows that no shorter document could fill: one run, cut to powers of two
+        run = deque(p for w in left for p in w)
         total = sum(len(p[2]) for p in run)
-        run = deque(run)
         while total:
             size = min(self.most, 1 << (total.bit_length() - 1))
             window, room = [], size
@@ -204,36 +245,34 @@ def slices(texts: pa.Array) -> list[tuple[int, int]]:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, tiers=TIERS, step_tokens: int = 1 << 18, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, tiers=TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, sequence_length and step_group, with_ids also ids (binary, little-endian unsigned 32-bit).
 
     No shuffle: each task packs the rows of its partition, with one pool of
     tokens in memory. sequence_id is the task's partition number and a count,
-    so a task that runs again gives the same rows. Step groups: sequences of a
-    task are dealt to groups of step_tokens tokens, each a multiple of the
-    windows' powers of two, so groups of a task are equally long but for the
-    last. Null text is empty: one piece with the end id. A null doc_id stays
-    null. Rows that repeat are packed each. Other columns are ignored.
+    so a task that runs again gives the same rows. step_group: the sequences of
+    a pool make about one group for each step_tokens of it, dealt so that their
+    tokens differ by less than the largest tier; see Packer. Null text is empty:
+    one piece with the end id. A null doc_id stays null. Rows that repeat are
+    packed each. An empty table gives no rows. Other columns are ignored.
     """
     path, many = tokenizer or default_tokenizer(), tuple(tiers)
 
     def task():
-        encoder, packer = encoder_of(path), Packer(many)
+        encoder, packer = encoder_of(path), Packer(many, step_tokens=step_tokens)
         base = TaskContext.get().partitionId() << 36
-        state = {"sequence": base, "tokens": 0}
+        state = {"sequence": base}
 
         def rows(sequences, out):
-            for pieces in sequences:
+            for pieces, group in sequences:
                 length, offset = sum(len(p[2]) for p in pieces), 0
-                group = base + state["tokens"] // step_tokens
                 for (doc, total), start, ids in pieces:
                     data = ids.tobytes()
-                    for column, x in zip(out.values(), (doc, start, len(ids), zlib.crc32(data), total, state["sequence"], offset, length, group, data)):
+                    for column, x in zip(out.values(), (doc, start, len(ids), zlib.crc32(data), total, state["sequence"], offset, length, base + group, data)):
                         column.append(x)
                     offset += len(ids)
                 state["sequence"] += 1
-                state["tokens"] += length
 
         return encoder, packer, rows
 
