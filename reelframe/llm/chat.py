@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, map_rows, stream_groups
+from .common import map_rows, stream_groups, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -51,25 +51,25 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def best_paths(messages: DataFrame) -> DataFrame:
-    """(tree, node, depth) of the messages on each tree's best root-to-leaf path.
+def best_paths(messages: DataFrame, paths: int | None = 1) -> DataFrame:
+    """(tree, leaf, node, depth) of the messages on each tree's best root-to-leaf paths: `paths` of them, all if None.
 
     messages: tree, node, parent (null at a root), score. Iterative self-joins
     by pointer doubling: after round k a node knows its 2**k-th ancestor and
     the score and length of the path between, so a path of n messages takes
     log2(n) rounds and no list of a path is ever built. A node that has reached
     its root is set aside and no longer joined. Branches rank by the
-    mean score of their path, ties by the least leaf; the best leaf's
+    mean score of their path, ties by the least leaf; the chosen leaves'
     ancestors are then gathered through the same jump tables, half a path at
     a time. A parent that isn't there makes a root; nodes on a cycle reach no
     root and are left out. Null trees and nodes are left out; of rows that
     share tree and node one counts, the least.
     """
     base = messages.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("x"))
-    base = base.select("tree", "node", F.col("x.parent").alias("parent"), F.coalesce("x.score", F.lit(0.0)).cast("double").alias("total"))
+    base = written(base.select("tree", "node", F.col("x.parent").alias("parent"), F.coalesce("x.score", F.lit(0.0)).cast("double").alias("total")))
     there = base.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
     state = base.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("up"), "total", F.lit(1).cast("long").alias("n"))
-    state = cut(state)
+    state = written(state)
     has_child = state.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = state.join(has_child, ["tree", "node"], "left_anti").select("tree", "node")
     jumps, finished, moving = [], state.where("up is null"), state.where("up is not null")
@@ -79,47 +79,58 @@ def best_paths(messages: DataFrame) -> DataFrame:
             break
         jumps.append(moving.select("tree", "node", "up"))
         above = finished.unionByName(moving).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("t"), F.col("n").alias("m"))
-        state = cut(moving.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("t")).alias("total"), (F.col("n") + F.col("m")).alias("n")))
+        state = written(moving.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("t")).alias("total"), (F.col("n") + F.col("m")).alias("n")))
         finished, moving = finished.unionByName(state.where("up is null")), state.where("up is not null")
     reached = finished.select("tree", "node", "total", F.col("n").alias("depth"))
-    ranked = leaves.join(reached, ["tree", "node"]).groupBy("tree").agg(F.min(F.struct((-F.col("total") / F.col("depth")).alias("s"), "node"))["node"].alias("node"))
-    path = ranked
+    ranked = leaves.join(reached, ["tree", "node"])
+    if paths is not None:
+        rank = F.row_number().over(Window.partitionBy("tree").orderBy(-F.col("total") / F.col("depth"), "node"))
+        ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= paths)
+    path = written(ranked.select("tree", F.col("node").alias("leaf"), "node"))
     for jump in reversed(jumps):
-        path = cut(path.union(path.join(jump, ["tree", "node"]).select("tree", F.col("up").alias("node"))))
-    return path.join(reached, ["tree", "node"]).select("tree", "node", "depth")
+        path = written(path.union(path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"))))
+    return path.join(reached, ["tree", "node"]).select("tree", "leaf", "node", "depth")
 
 
-def format_trees(messages: DataFrame) -> DataFrame:
-    """tree, formatted, loss (spans of the assistant's texts in it) of each tree's best path.
+def format_trees(messages: DataFrame, paths: int | None = 1) -> DataFrame:
+    """tree, leaf, formatted, loss (spans of the assistant's texts in it) of each of a tree's chosen paths.
 
-    messages: tree, node, parent, score, role, text. A conversation is one row
-    and is built in one task, in turn order; null role and text are empty.
+    messages: tree, node, parent, score, role, text. The paths are found with
+    ids and scores alone; texts are joined to the chosen messages afterwards. A
+    path is one conversation, one row, and is built in one task, in turn order;
+    null role and text are empty. Of rows that share tree and node the least
+    counts, as best_paths has it. Empty tables give no rows.
     """
-    paths = best_paths(messages)
+    found = best_paths(messages.select("tree", "node", "parent", "score"), paths)
     said = messages.groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("x")).select("tree", "node", "x.role", "x.text")
-    turns = said.join(paths, ["tree", "node"]).select("tree", "depth", "role", "text")
+    turns = said.join(found, ["tree", "node"]).select("tree", "leaf", "depth", "role", "text")
 
     def one(key, rows):
-        formatted, spans = format_turns((role, text) for _, _, role, text in rows)
-        yield key[0], formatted, [{"start": a, "end": b} for a, b in spans]
+        formatted, spans = format_turns((role, text) for *_, role, text in rows)
+        yield *key, formatted, [{"start": a, "end": b} for a, b in spans]
 
-    kind = dict(messages.dtypes)["tree"]
-    return stream_groups(turns, ["tree"], ["depth"], f"tree {kind}, formatted string, loss array<struct<start:long,end:long>>", one)
+    kind = dict(messages.dtypes)
+    return stream_groups(turns, ["tree", "leaf"], ["depth"], f"tree {kind['tree']}, leaf {kind['node']}, formatted string, loss array<struct<start:long,end:long>>", one)
 
 
 def linear_messages(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """A conversation's rows, by turn (then role and text), as a tree without branches."""
-    order = F.row_number().over(Window.partitionBy(conv).orderBy(turn, "role", "text")).cast("long")
-    at = rows.where(F.col(conv).isNotNull()).select(F.col(conv).alias("tree"), order.alias("node"), "role", "text")
+    """A conversation's rows, by turn (null turns first; ties by role and text, null as empty), as a tree without branches.
+
+    tree is the conversation's id as text. Rows of a null id make one
+    conversation, whose tree is the empty text; an empty table gives no rows.
+    """
+    order = F.row_number().over(Window.partitionBy("tree").orderBy(turn, F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))).cast("long")
+    at = rows.withColumn("tree", F.coalesce(F.col(conv).cast("string"), F.lit(""))).select("tree", order.alias("node"), "role", "text")
     return at.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What is read back from formatted conversations."""
+    """What is read back from formatted conversations; conv_id is the tree's number, null for the empty tree."""
 
     def task():
         def each(c):
-            out = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")} | {"conv_id": c["tree"]}
+            out = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
+            out["conv_id"] = [int(t) if t else None for t in c["tree"].to_pylist()]
             for text, spans in zip(c["formatted"].to_pylist(), c["loss"].to_pylist()):
                 turns = read_turns(text)
                 said, lost, chars = hashlib.sha256(), hashlib.sha256(), 0
