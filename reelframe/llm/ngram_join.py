@@ -9,18 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stream_groups, written
+from .common import map_rows, split_join, stream_groups, written
 from .components import connected_components
 
 SHINGLE, PERCENT = 4, 85
-#: Candidate keys: TABLES keys of ROWS minima each. Two sets of similarity s share no key with chance
-#: (1 - s**ROWS)**TABLES, at 0.85 that is 1.4e-13 (as rare as two 64-bit shingle hashes being equal).
-TABLES, ROWS = 40, 4
-#: Shingles that a tile may hold (64 more are counted for each row), and bits of a signature.
-TILE_SHINGLES, BITS = 1 << 21, 1024
+#: Minima of a set, and candidate keys: KEYS keys, each of CHOSEN of the minima. Two sets of similarity 0.85 share no
+#: key with a chance of 7e-8, of 0.9 with 5e-13; of similarity 0.3 they share one with a chance of 4.5 %.
+MINIMA, KEYS, CHOSEN = 128, 64, 6
+#: Numbers of minima in which two sets differ. Linked sets differ in more than LINKED of them with a chance of 1e-8. A
+#: leader covers what differs in at most COVERED; a set that is linked with that differs in at most the sum.
+LINKED, COVERED = 44, 12
+#: Rows of a key that are led by one leader search; shingles that a tile may hold (64 more are counted for each row);
+#: bits of a signature.
+LED_ROWS, TILE_SHINGLES, BITS = 8192, 1 << 21, 1024
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_ODD = np.random.default_rng(20240229).integers(1, 2**63, size=(TABLES * ROWS,), dtype=np.uint64) * 2 + 1
+_RANDOM = np.random.default_rng(20240229)
+_ODD = _RANDOM.integers(1, 2**63, size=(MINIMA,), dtype=np.uint64) * 2 + 1
+_PICKS = np.array([_RANDOM.choice(MINIMA, CHOSEN, replace=False) for _ in range(KEYS)])
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -53,23 +59,55 @@ def shingles(text: bytes | None, words: Words, n: int = SHINGLE) -> np.ndarray:
     return np.unique(run)
 
 
-def keys(s: np.ndarray) -> np.ndarray:
-    """TABLES keys of a set: each mixes ROWS minima under independent multiply-rotate hashes."""
-    if not len(s):
-        return np.empty(0, np.int64)
-    least = np.empty(len(_ODD), np.uint64)
+def minima(s: np.ndarray) -> np.ndarray:
+    """16 bits of each of MINIMA least values of a set under independent multiply-rotate hashes."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(s), 4096):  # bounded memory for very long texts
         x = s[lo : lo + 4096, None] * _ODD[None, :]
         x ^= x >> np.uint64(32)
         x *= _M1
-        m = x.min(0)
-        least = m if lo == 0 else np.minimum(least, m)
-    out = np.arange(1, TABLES + 1, dtype=np.uint64)
-    for j in range(ROWS):
-        out = _mix(out * _M2 + least[j::ROWS])
+        least = np.minimum(least, x.min(0))
+    return (_mix(least) & np.uint64(0xFFFF)).astype("<u2")
+
+
+def keys(least: np.ndarray) -> np.ndarray:
+    """The KEYS keys of each row of minima."""
+    out = np.repeat(np.arange(1, KEYS + 1, dtype=np.uint64)[None, :], len(least), axis=0)
+    for j in range(CHOSEN):
+        out = _mix(out * _M2 + least[:, _PICKS[:, j]].astype(np.uint64))
     return out.view(np.int64)
 
 
+def lead(ids: np.ndarray, low: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """(edges of rows with leaders, the leaders' places). low: the low bytes of each row's minima.
+
+    The first row that no leader covers becomes one, until all are covered; a
+    row gets an edge with each leader that it differs from in at most COVERED +
+    LINKED minima. Differences obey the triangle inequality, so of two linked
+    rows both have an edge with the leader that covers one of them.
+    """
+    edges, leaders, left = [], [], np.arange(len(ids))
+    while len(left):
+        i = left[0]
+        apart = (low[left] != low[i]).sum(1)
+        near = left[apart <= COVERED + LINKED]
+        edges += [(int(ids[j]), int(ids[i])) for j in near if j != i]
+        leaders.append(int(i))
+        left = left[(apart > COVERED) & (left != i)]
+    return edges, leaders
+
+
+def lead_leaders(ids: list[int], low: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning edges of leaders that differ in at most 2 * COVERED + LINKED minima: linked rows of two leaders do."""
+    edges, group = [], np.arange(len(ids))
+    for i in range(len(ids)):
+        for j in np.flatnonzero((low[i + 1 :] != low[i]).sum(1) <= 2 * COVERED + LINKED) + i + 1:
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                edges.append((int(ids[i]), int(ids[j])))
+    return edges
+
+
 def signature(s: np.ndarray, bits: int = BITS) -> np.ndarray:
     """A bitmap with the bit of each shingle set."""
     out = np.zeros(bits, np.uint8)
@@ -87,22 +125,6 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Union:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x):
-        while (y := self.up.setdefault(x, x)) != x:
-            self.up[x] = self.up[y] if y in self.up else y
-            x = y
-        return x
-
-    def join(self, x, y):
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-
 class Overlaps:
     """Shared shingles of a row with many others: each shingle gets a number, so that a row's are marks in a table."""
 
@@ -184,37 +206,87 @@ def tile_links(left: list[tuple], right: list[tuple] | None, percent: int = PERC
     return out, [(d, n) for d, n in zip(docs, links.tolist()) if n]
 
 
-def _measure(docs: DataFrame, key: str) -> DataFrame:
+def _measure(docs: DataFrame) -> DataFrame:
     def task():
         words = Words()
 
         def each(c):
-            out = {"doc_id": c[key], "n": [], "h1": [], "h2": [], "keys": []}
+            out = {"doc_id": c["doc_id"], "th": c["th"], "n": [], "h1": [], "h2": [], "low": [], "high": []}
             for t in c["text"]:
                 s = shingles(b.to_pybytes() if (b := t.as_buffer()) is not None else None, words)
                 a = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                least = minima(s).view(np.uint8)
                 out["n"].append(len(s))
                 out["h1"].append(int.from_bytes(a[:8], "little", signed=True))
                 out["h2"].append(int.from_bytes(a[8:], "little", signed=True))
-                out["keys"].append(keys(s))
+                out["low"].append(least[::2].tobytes())
+                out["high"].append(least[1::2].tobytes())
             return out
 
         return each
 
-    return map_rows(docs, [key, "text"], "doc_id long, n long, h1 long, h2 long, keys array<long>", task)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return map_rows(hashed, ["doc_id", "th", "text"], "doc_id long, th long, n long, h1 long, h2 long, low binary, high binary", task)
+
+
+def _keyed(classes: DataFrame) -> DataFrame:
+    """node, key: the candidate keys of each class."""
+
+    def task():
+        def each(c):
+            least = np.empty((len(c["node"]), MINIMA, 2), np.uint8)
+            for k, column in enumerate(("low", "high")):
+                least[:, :, k] = np.frombuffer(b"".join(c[column].to_pylist()), np.uint8).reshape(-1, MINIMA)
+            return {"node": c["node"], "keys": list(keys(least.view("<u2")[:, :, 0]))}
+
+        return each
+
+    return map_rows(classes, ["node", "low", "high"], "node long, keys array<long>", task).select("node", F.explode("keys").alias("key"))
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) of classes such that linked classes are connected.
+
+    A key that holds more than LED_ROWS classes is parted by hash, each part
+    finds its leaders, and those are then compared among themselves: a task
+    holds no more of a key than LED_ROWS rows, or its leaders.
+    """
+    counted = written(_keyed(classes).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    total = counted.agg(F.sum("c")).first()[0] or 0
+    rows = split_join(_keyed(classes), counted, ["key"], "c", total)
+    cuts = F.ceil(F.col("c") / LED_ROWS).cast("int")
+    rows = rows.select("key", "node", cuts.alias("cuts"), F.pmod(F.xxhash64("node"), cuts).cast("int").alias("part"))
+    rows = rows.join(classes.select("node", "low").hint("merge"), "node").select("key", "part", "node", "cuts", "low")
+
+    def in_part(key, group):
+        _, _, ids, cuts, low = zip(*group)
+        low = np.frombuffer(b"".join(low), np.uint8).reshape(len(ids), -1)
+        edges, leaders = lead(np.array(ids), low)
+        yield from ((a, b, None, None) for a, b in edges)
+        if cuts[0] > 1:
+            yield from ((int(ids[i]), None, key[0], low[i].tobytes()) for i in leaders)
+
+    def among_leaders(_, group):
+        _, ids, low = zip(*group)
+        yield from lead_leaders(ids, np.frombuffer(b"".join(low), np.uint8).reshape(len(ids), -1))
+
+    found = written(stream_groups(rows, ["key", "part"], ["node"], "a long, b long, key long, low binary", in_part))
+    leaders = found.where("b is null").select("key", F.col("a").alias("node"), "low")
+    more = stream_groups(leaders, ["key"], ["node"], "a long, b long", among_leaders)
+    return found.where("b is not null").select("a", "b").union(more)
 
 
 def _arrays(docs: DataFrame) -> DataFrame:
     def task():
         words = Words()
         return lambda c: {
-            "doc_id": c["doc_id"],
             "node": c["node"],
+            "grp": c["grp"],
             "copies": c["copies"],
             "s": [shingles(b.to_pybytes() if (b := t.as_buffer()) is not None else None, words).tobytes() for t in c["text"]],
         }
 
-    return map_rows(docs, ["doc_id", "node", "copies", "text"], "doc_id long, node long, copies long, s binary", task)
+    return map_rows(docs, ["node", "grp", "copies", "text"], "node long, grp long, copies long, s binary", task)
 
 
 def _in_tile(percent: int, counted: bool):
@@ -236,101 +308,119 @@ def _in_tile(percent: int, counted: bool):
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, by jaccard_links without the count."""
-    return _join(docs, percent, with_links=False)
+    return _rows(docs, percent, with_links=False).select("doc_id", "n_shingles", "component_id")
 
 
 def jaccard_links(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other doc_ids it links with) of every row: see the steps.
 
-    1. One pass makes each text's set, its digest and its candidate keys.
-    2. Equal sets become one class, whose least doc_id stands for it.
-    3. Classes that share a key are joined, star-wise, to candidate groups.
+    1. One pass makes each text's set, its digest and its minima.
+    2. Equal sets become one class.
+    3. Classes that share a key and whose minima are near meet a leader of the
+       key; these edges make candidate groups. Sets that are alike by less than
+       about a half aren't chained, however many share a key.
     4. A candidate group is cut into tiles by size band and, where a band
        holds too many shingles, by hash; tiles of one band or of neighbouring
        bands meet in one job each. A job compares bitmaps, then exact arrays.
        Each pair of classes meets in one job, which counts its link for both.
     5. Links make components; every row of a class gets its class's. Its links
-       are its class's, each as often as the other class has copies, and its
-       own class's other copies.
-
-    Null or empty text, or text without words: no shingles, linked with nothing,
-    component_id is its own doc_id. A null doc_id keeps its row with a null
-    component_id and n_links. Rows that repeat come out each. Other columns are
-    ignored.
+       are its class's, each as often as the other class has doc_ids, and its
+       own class's other doc_ids.
+
+    doc_id must be an integer; text ids are cast, and those that aren't numbers
+    become null. Null or empty text, or text without words: no shingles, linked
+    with nothing, component_id is its own doc_id. A null doc_id keeps its row
+    with a null component_id and n_links. Rows that repeat come out each. Rows
+    of one doc_id with different texts are documents of their own: each has the
+    component and the links of its text. An empty table gives no rows. Other
+    columns are ignored.
     """
-    return _join(docs, percent, with_links=True)
+    return _rows(docs, percent, with_links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def _join(docs: DataFrame, percent: int, with_links: bool) -> DataFrame:
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = written(_measure(docs, "doc_id"))
+def _rows(docs: DataFrame, percent: int, with_links: bool) -> DataFrame:
+    """doc_id, th (the text's hash), n_shingles, component_id, node, first (whether its class is its component's first) and n_links."""
+    docs = docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), "text")
+    measured = written(_measure(docs))
     full = measured.where("n > 0 and doc_id is not null")
-    classes = written(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")))
-    nodes = classes.select("h1", "h2", "n", "node", F.lit(1).cast("long").alias("copies"))
-    if with_links:
-        copies = full.select("h1", "h2", "n", "doc_id").distinct().groupBy("h1", "h2", "n").agg(F.count("*").alias("copies"))
-        nodes = written(nodes.drop("copies").join(copies.hint("merge"), ["h1", "h2", "n"]))
-    exploded = classes.select("node", F.explode("keys").alias("key"))
-    counted = exploded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    stars = exploded.select("key", "node").join(counted.select("key", "pivot"), "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    groups = connected_components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("node"))
-    groups = written(groups.join(nodes.select(F.col("node").alias("doc_id"), "copies").hint("merge"), "doc_id"))
-
-    reps = docs.join(groups.hint("merge"), "doc_id")  # the groups grow with the table: one way at every size
-    arrays = written(_arrays(reps).dropDuplicates(["doc_id"]))
+    grouped = full.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("rows"), F.min("low").alias("low"), F.min("high").alias("high"))
+    classes = written(grouped.select("h1", "h2", "n", F.monotonically_increasing_id().alias("node"), F.col("least.doc_id").alias("doc"), F.col("least.th").alias("th"), "rows", "low", "high"))
+    nodes = classes.select("h1", "h2", "n", "node", "doc", "th", "rows")
+    copies = full.select("h1", "h2", "n", "doc_id").distinct().groupBy("h1", "h2", "n").agg(F.count("*").alias("copies"))
+    nodes = written(nodes.join(copies.hint("merge"), ["h1", "h2", "n"]))
+
+    groups = connected_components(_candidates(classes)).select("node", F.col("component").alias("grp"))
+    groups = written(groups.join(nodes.select("node", "doc", "th", "copies").hint("merge"), "node"))
+    # the groups grow with the table: one way at every size
+    reps = docs.withColumn("th", F.xxhash64("text")).join(groups.withColumnRenamed("doc", "doc_id").hint("merge"), ["doc_id", "th"])
+    links = written(_links(written(_arrays(reps).dropDuplicates(["node"])), percent, with_links))
+
+    found = connected_components(links.where("b is not null").select("a", "b"))
+    found = written(nodes.join(found, "node").select("node", "component", "doc"))
+    least = found.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("least"), F.count("*").alias("c"))
+    least = split_join(found.select("node", "component"), least, ["component"], "c", found.count()).select("node", "least")
+    placed = nodes.join(least, "node", "left")
+    placed = placed.withColumn("component_id", F.coalesce("least.doc", "doc")).withColumn("first", F.coalesce(F.col("least.node") == F.col("node"), F.lit(True))).drop("least")
+    others = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    placed = placed.join(others, "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
+    placed = placed.select("h1", "h2", "n", "rows", "node", "component_id", "first", "n_links")
+    out = split_join(measured.drop("low", "high"), placed, ["h1", "h2", "n"], "rows", measured.count(), "left")
+    known = F.col("doc_id").isNotNull()
+    own = known & (F.col("n") > 0)  # a null id may share its text's class with others
+    return out.select(
+        "doc_id",
+        "th",
+        F.col("n").alias("n_shingles"),
+        F.when(known, F.when(own, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"),
+        F.when(own, F.col("node")).alias("node"),
+        F.when(own, F.col("first")).alias("first"),
+        F.when(known, F.when(own, F.col("n_links")).otherwise(F.lit(0))).alias("n_links"),
+    )
+
+
+def _links(arrays: DataFrame, percent: int, counted: bool) -> DataFrame:
+    """a, b (links that span) and a, n (links of a) of arrays: node, grp, copies, s."""
     n = F.octet_length("s") / 8
     # a little wider than the ratio of sizes that can link, so that rounding never parts two neighbours
     band = F.floor(F.log(n) / (F.log(F.lit(100.0 / percent)) * 1.001)).cast("int")
-    weight = n + 64
-    sized = arrays.select("*", weight.cast("long").alias("n"), band.alias("band"))
-    whole = sized.groupBy("node").agg(F.sum("n").alias("total"))
-    bands = sized.groupBy("node", "band").agg(F.sum("n").alias("mass"))
-    bands = bands.join(whole, "node").select(
-        "node", F.when(F.col("total") <= TILE_SHINGLES, F.lit(None)).otherwise(F.col("band")).alias("band"), F.ceil(F.col("mass") / TILE_SHINGLES).cast("int").alias("cuts")
-    )
-    small = bands.where("band is null").select("node").distinct()
-    large = bands.where("band is not null")
-    # jobs: (group, band of side 0, its cut, band of side 1, its cut)
-    one = sized.join(small, "node").select(F.struct("node", F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).alias("c"), F.lit(0).alias("j")).alias("job"), F.lit(0).alias("side"), "doc_id", "s", "copies")
-    here = sized.join(large, ["node", "band"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
-    above = large.select("node", (F.col("band") - 1).alias("band"), F.col("cuts").alias("above"))
-    below = large.select("node", (F.col("band") + 1).alias("band"), F.col("cuts").alias("below"))
-    here = here.join(above, ["node", "band"], "left").join(below, ["node", "band"], "left")
-
-    def jobs(count, make, start=0):
-        return F.transform(F.sequence(F.lit(start), count - 1), make)
+    sized = arrays.select("*", (n + 64).cast("long").alias("weight"), band.alias("band"))
+    bands = sized.groupBy("grp", "band").agg(F.ceil(F.sum("weight") / TILE_SHINGLES).cast("int").alias("cuts"), F.count("*").alias("c"))
+    above = bands.select("grp", (F.col("band") - 1).alias("band"), F.col("cuts").alias("above"))
+    below = bands.select("grp", (F.col("band") + 1).alias("band"), F.col("cuts").alias("below"))
+    bands = written(bands.join(above, ["grp", "band"], "left").join(below, ["grp", "band"], "left").where("c > 1 or above > 0 or below > 0"))
+    # a row goes to the jobs of its tile with all tiles of its band, and of the bands above and below
+    here = split_join(sized, bands, ["grp", "band"], "c", arrays.count())
+    own, at = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.col("band")
+
+    def jobs(count, make):
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)).otherwise(F.array().cast(_JOBS)).cast(_JOBS)
 
     def job(b, i, c, j, side):
-        return F.struct(F.struct(F.col("node"), b.alias("b"), i.alias("i"), c.alias("c"), j.alias("j")).alias("job"), F.lit(side).alias("side"))
+        return F.struct(b.alias("b"), i.alias("i"), c.alias("c"), j.alias("j"), F.lit(side).alias("side"))
 
-    own, at = F.col("own"), F.col("band")
-    within = jobs(F.col("cuts"), lambda k: F.when(k >= own, job(at, own, at, k, 0)).otherwise(job(at, k, at, own, 1)))
-    upward = F.when(F.col("above") > 0, jobs(F.col("above"), lambda k: job(at, own, at + 1, k, 0))).otherwise(F.array().cast(within_type()))
-    downward = F.when(F.col("below") > 0, jobs(F.col("below"), lambda k: job(at - 1, k, at, own, 1))).otherwise(F.array().cast(within_type()))
-    many = here.select(F.explode(F.concat(within.cast(within_type()), upward, downward)).alias("x"), "doc_id", "s", "copies").select("x.job", "x.side", "doc_id", "s", "copies")
+    within = jobs("cuts", lambda k: F.when(k >= own, job(at, own, at, k, 0)).otherwise(job(at, k, at, own, 1)))
+    upward = jobs("above", lambda k: job(at, own, at + 1, k, 0))
+    downward = jobs("below", lambda k: job(at - 1, k, at, own, 1))
+    dealt = here.select("grp", F.explode(F.concat(within, upward, downward)).alias("job"), "node", "s", "copies")
     alone = F.expr("job.b = job.c and job.i = job.j")
-    tiles = one.union(many).select(F.xxhash64("job").alias("h"), "side", "doc_id", "s", "copies", alone.alias("alone"))
-    links = written(stream_groups(tiles, ["h"], ["side"], "a long, b long, n long", _in_tile(percent, with_links)))
-    found = connected_components(links.where("b is not null").select("a", "b"))
-    placed = nodes.join(found, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("component"))
-    if with_links:
-        others = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-        placed = placed.join(others, "node", "left").withColumn("links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
-    known = F.col("doc_id").isNotNull()
-    component = F.when(known, F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component_id")
-    n_links = [F.when(known, F.coalesce("links", F.lit(0))).alias("n_links")] if with_links else []
-    placed = placed.select("h1", "h2", "n", "component", *(["links"] if with_links else []))
-    return measured.join(placed, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), component, *n_links)
+    tiles = dealt.select(F.xxhash64("grp", "job.b", "job.i", "job.c", "job.j").alias("h"), "job.side", "node", "s", "copies", alone.alias("alone"))
+    return stream_groups(tiles, ["h"], ["side"], "a long, b long, n long", _in_tile(percent, counted))
 
 
-def within_type() -> str:
-    return "array<struct<job:struct<node:bigint,b:int,i:int,c:int,j:int>,side:int>>"
+_JOBS = "array<struct<b:int,i:int,c:int,j:int,side:int>>"
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their component, with docs' columns: of each component the least doc_id, once."""
-    found = jaccard_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    rest = docs.where("doc_id is null")
-    return docs.join(kept.hint("merge"), "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).union(rest)
+    """The documents that stand for their component, with docs' columns: of each component the least doc_id, once.
+
+    Rows without words and rows of a null doc_id are kept; a row without words
+    that repeats is kept once. Of rows of one doc_id each text is judged by
+    itself, so a text that is no copy stays. An empty table stays empty.
+    """
+    found = _rows(docs, PERCENT, with_links=False)
+    kept = found.where("doc_id is not null and (n_shingles = 0 or (first and doc_id = component_id))")
+    # of a class's rows with the least doc_id, which may differ in white space, one
+    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.coalesce("node", "th").alias("node"), "n_shingles").agg(F.min("th").alias("_th")).select("_id", "_th").distinct()
+    marked = docs.withColumn("_id", F.expr("try_cast(doc_id as long)")).withColumn("_th", F.xxhash64("text"))
+    once = marked.where("_id is not null").join(kept.hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+    return once.select(*docs.columns).union(docs.where("try_cast(doc_id as long) is null"))

@@ -20,8 +20,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the contract's columns; n_links is made with them
-    return ngram_join.jaccard_links(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,21 +82,22 @@ s as (select distinct doc_id, array_to_string(w[i : i + 3], ' ') as g from (sele
 n as (select doc_id, count(*) as n from s group by doc_id),
 pairs as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
 links as (select a, b from pairs join n p on a = p.doc_id join n q on b = q.doc_id where 100 * c >= 85 * (p.n + q.n - c)),
-reach as (select doc_id as a, doc_id as b from d union select reach.a, links.b from reach join links on reach.b = links.a)
-select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, r.c as component_id
-from d left join n on d.doc_id = n.doc_id join (select a, min(b) as c from reach group by a) r on d.doc_id = r.a
+reach as (select doc_id as a, doc_id as b from d union select reach.a, links.b from reach join links on reach.b = links.a),
+linked as (select a, count(*) as n from links group by a)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, r.c as component_id, cast(coalesce(linked.n, 0) as bigint) as n_links
+from d left join n on d.doc_id = n.doc_id join (select a, min(b) as c from reach group by a) r on d.doc_id = r.a left join linked on d.doc_id = linked.a
 """
 
 _ESCAPED = "replace(replace({0}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
 _SHA = "sha256(coalesce({0}, ''))"
 
 OP5_SQL = f"""
-with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 t as (select *, length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + 24 + length(role) - length(replace(role, chr(10), '')) as c from rows)
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-  {_SHA.format("string_agg(text, '' order by turn, role, text) filter (role = 'assistant')")} as loss_sha256,
+  {_SHA.format("string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant')")} as loss_sha256,
   cast(sum(c) as bigint) as formatted_chars
 from t group by conv_id
 """
