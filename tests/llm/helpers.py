@@ -3,12 +3,26 @@
 import re
 from collections import defaultdict
 
-from reelframe.llm.ngram_join import Union
-
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SF = "/root/testdata/sf0.001"
 
 
+class Union:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x):
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = self.up[y] if y in self.up else y
+            x = y
+        return x
+
+    def join(self, x, y):
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+
 def shingle_sets(rows):
     """{doc_id: set} of 4-word shingles as the contract has them."""
     out = {}
