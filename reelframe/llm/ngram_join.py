@@ -82,29 +82,46 @@ def lead(ids: np.ndarray, low: np.ndarray) -> tuple[list[tuple[int, int]], list[
     """(edges of rows with leaders, the leaders' places). low: the low bytes of each row's minima.
 
     The first row that no leader covers becomes one, until all are covered; a
-    row gets an edge with each leader that it differs from in at most COVERED +
-    LINKED minima. Differences obey the triangle inequality, so of two linked
-    rows both have an edge with the leader that covers one of them.
+    row belongs to each leader that it differs from in at most COVERED + LINKED
+    minima. Differences obey the triangle inequality, so two linked rows both
+    belong to the leader that covers one of them. Edges span what belongs
+    together: there are fewer than rows, however many leaders there are.
     """
-    edges, leaders, left = [], [], np.arange(len(ids))
+    edges, leaders, left, group = [], [], np.arange(len(ids)), np.arange(len(ids))
     while len(left):
         i = left[0]
         apart = (low[left] != low[i]).sum(1)
         near = left[apart <= COVERED + LINKED]
-        edges += [(int(ids[j]), int(ids[i])) for j in near if j != i]
+        edges += _span(ids, group, i, near)
         leaders.append(int(i))
         left = left[(apart > COVERED) & (left != i)]
     return edges, leaders
 
 
-def lead_leaders(ids: list[int], low: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning edges of leaders that differ in at most 2 * COVERED + LINKED minima: linked rows of two leaders do."""
-    edges, group = [], np.arange(len(ids))
+def _span(ids: np.ndarray, group: np.ndarray, i: int, near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of place i with those of `near` that aren't in its group yet, one for each group; group is changed."""
+    out = []
+    new, first = np.unique(group[near], return_index=True)
+    for g, k in zip(new, first):
+        if g != group[i]:
+            out.append((int(ids[i]), int(ids[near[k]])))
+    group[np.isin(group, new)] = group[i]
+    return out
+
+
+def lead_leaders(ids: np.ndarray, low: np.ndarray, other_ids: np.ndarray | None = None, other_low: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of leaders, or of two blocks of leaders, that differ in at most 2 * COVERED + LINKED minima:
+    the leaders of linked rows do."""
+    if other_ids is None:
+        other_ids, other_low, base = ids, low, 0
+    else:
+        base = len(ids)
+    all_ids = ids if not base else np.concatenate([ids, other_ids])
+    edges, group = [], np.arange(len(all_ids))
     for i in range(len(ids)):
-        for j in np.flatnonzero((low[i + 1 :] != low[i]).sum(1) <= 2 * COVERED + LINKED) + i + 1:
-            if group[i] != group[j]:
-                group[group == group[j]] = group[i]
-                edges.append((int(ids[i]), int(ids[j])))
+        first = i + 1 if not base else 0
+        near = np.flatnonzero((other_low[first:] != low[i]).sum(1) <= 2 * COVERED + LINKED) + first + base
+        edges += _span(all_ids, group, i, near)
     return edges
 
 
@@ -248,8 +265,8 @@ def _candidates(classes: DataFrame) -> DataFrame:
     """Edges (a, b) of classes such that linked classes are connected.
 
     A key that holds more than LED_ROWS classes is parted by hash, each part
-    finds its leaders, and those are then compared among themselves: a task
-    holds no more of a key than LED_ROWS rows, or its leaders.
+    finds its leaders, and those are then compared among themselves, in blocks
+    of LED_ROWS too. A task never holds more of a key than two blocks.
     """
     counted = written(_keyed(classes).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     total = counted.agg(F.sum("c")).first()[0] or 0
@@ -267,12 +284,22 @@ def _candidates(classes: DataFrame) -> DataFrame:
             yield from ((int(ids[i]), None, key[0], low[i].tobytes()) for i in leaders)
 
     def among_leaders(_, group):
-        _, ids, low = zip(*group)
-        yield from lead_leaders(ids, np.frombuffer(b"".join(low), np.uint8).reshape(len(ids), -1))
+        sides: dict[int, list] = {0: [], 1: []}
+        alone = True
+        for _, side, alone, node, low in group:
+            sides[side].append((node, low))
+        if sides[0] and (alone or sides[1]):
+            packed = [(np.array([x for x, _ in rows]), np.frombuffer(b"".join([x for _, x in rows]), np.uint8).reshape(len(rows), -1)) for rows in sides.values() if rows]
+            yield from lead_leaders(*packed[0], *(packed[1] if not alone else ()))
 
     found = written(stream_groups(rows, ["key", "part"], ["node"], "a long, b long, key long, low binary", in_part))
     leaders = found.where("b is null").select("key", F.col("a").alias("node"), "low")
-    more = stream_groups(leaders, ["key"], ["node"], "a long, b long", among_leaders)
+    counts = written(leaders.groupBy("key").agg(F.count("*").alias("c"), F.ceil(F.count("*") / LED_ROWS).cast("int").alias("cuts")))
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), F.when(x >= own, 0).otherwise(1).alias("side")))
+    dealt = split_join(leaders, counts, ["key"], "c", counts.agg(F.sum("c")).first()[0] or 0).withColumn("job", F.explode(blocks))
+    dealt = dealt.select(F.xxhash64("key", "job.i", "job.j").alias("h"), "job.side", (F.col("job.i") == F.col("job.j")).alias("alone"), "node", "low")
+    more = stream_groups(dealt, ["h"], ["side"], "a long, b long", among_leaders)
     return found.where("b is not null").select("a", "b").union(more)
 
 

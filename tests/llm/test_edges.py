@@ -117,8 +117,13 @@ def test_leaders_connect_what_links():
         leaders += [int(at[i]) for i in found]
         for a, b in edges:
             group.join(a, b)
-    for a, b in ngram_join.lead_leaders(leaders, low[leaders]):
-        group.join(a, b)
+    leaders = np.array(leaders)
+    half = len(leaders) // 2
+    blocks = (leaders[:half], leaders[half:])
+    for some in (ngram_join.lead_leaders(blocks[0], low[blocks[0]]), ngram_join.lead_leaders(blocks[1], low[blocks[1]]), ngram_join.lead_leaders(blocks[0], low[blocks[0]], blocks[1], low[blocks[1]])):
+        assert len(some) < len(leaders)
+        for a, b in some:
+            group.join(a, b)
     apart = (low[:, None, :] != low[None, :, :]).sum(2)
     assert all(group.find(int(a)) == group.find(int(b)) for a, b in zip(*np.nonzero(apart <= ngram_join.LINKED)))
     assert len(leaders) < len(ids) and (apart > ngram_join.LINKED).any()
