@@ -39,9 +39,9 @@ def per_component(px: Column, fn, top: Column | None = None) -> Column:
     return pack(alpha(px) if top is None else top, fn(red(px)), fn(green(px)), fn(blue(px)))
 
 
-def _div(x: Column, n) -> Column:
-    """Integer division of values that aren't negative."""
-    return F.floor(x / n).cast("long")
+def div(x: Column, n) -> Column:
+    """Integer division of values that aren't negative, exact at any size."""
+    return F.call_function("div", x, n if isinstance(n, Column) else F.lit(n).cast("long"))
 
 
 def premultiply_component(c: Column, a: Column) -> Column:
@@ -61,7 +61,7 @@ def unpremultiply_component(c: Column, a: Column) -> Column:
     it doesn't map back; for c <= a that always does. Values of c above a are
     not premultiplied data and give 255.
     """
-    u = F.least(_div(c * 255, a), F.lit(255))
+    u = F.least(div(c * 255, a), F.lit(255))
     back = premultiply_component(u, a)
     return F.when(back < c, F.least(u + 1, F.lit(255))).when(back > c, F.greatest(u - 1, F.lit(0))).otherwise(u)
 
@@ -113,3 +113,8 @@ def to_rgb15(px: Column) -> Column:
 
 def hex_word(px: Column, bpp: int) -> Column:
     return F.format_string(f"%0{ {16: 4, 24: 6, 32: 8}[bpp] }X", px)
+
+
+def clear(px: Column) -> Column:
+    """Zero, whatever the pixel was."""
+    return F.lit(0).cast("long")

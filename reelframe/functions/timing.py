@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pixels import div
+
 #: The labels tried in order, each with the frame duration it stands for.
 LABELS = [
     ("1/1", 1.0),
@@ -70,10 +72,16 @@ def is_cadence_keyframe(frame: Column, every: int = 10000) -> Column:
 
 def trailing_nops(duration_us: Column, frame_us: int) -> Column:
     """Frames to repeat after one that is shown for duration_us: round(duration / frame) - 1, at least 0."""
-    n = F.floor((duration_us * 2 + frame_us) / (2 * frame_us)).cast("long")
+    n = div(duration_us * 2 + frame_us, 2 * frame_us)
     return F.greatest(n - 1, F.lit(0)).cast("long")
 
 
+def with_trailing_nops(frames: DataFrame, duration_us: str, frame_us: int) -> DataFrame:
+    """frames and, after each, as many nop rows as its time needs: copy (from 0) and is_nop tell them apart."""
+    copies = F.sequence(F.lit(0).cast("long"), trailing_nops(F.col(duration_us), frame_us))
+    return frames.select("*", F.explode(copies).alias("copy")).withColumn("is_nop", F.col("copy") > 0)
+
+
 def suffixed(name: Column, suffix: str) -> Column:
     """NAME.ext -> NAME<suffix>.ext."""
     return F.regexp_replace(name, r"(\.[^./]*)$", f"{suffix}$1")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import blocks
 from .delta import movie_of
 
 ADLER_MOD = 65521
@@ -33,9 +33,10 @@ def frame_adler(pixels: DataFrame, frame_px: int, bpp: int = 24) -> DataFrame:
 def adler_with_nops(frames: DataFrame) -> DataFrame:
     """frames: frame, is_nop, adler -> adler of each frame, a nop repeating the last stored one, and its report text."""
     m = movie_of(frames)
-    w = (Window.partitionBy(*m) if m else Window.partitionBy(F.lit(0))).orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = F.last(F.when(~F.col("is_nop"), F.col("adler")), ignorenulls=True).over(w)
-    return frames.withColumn("adler", filled).withColumn("report", F.concat(F.lit("0x"), F.hex("adler")))
+    stored = frames.withColumn("_stored", F.when(~F.col("is_nop"), F.col("adler")))
+    filled = blocks.carried(stored, m, "frame", "_stored", "_adler").drop("_stored")
+    filled = filled.withColumn("adler", F.col("_adler")).drop("_adler")
+    return filled.withColumn("report", F.concat(F.lit("0x"), F.hex("adler")))
 
 
 def checksum_mismatches(stored: DataFrame, computed: DataFrame) -> DataFrame:

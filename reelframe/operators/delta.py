@@ -1,8 +1,8 @@
 """Delta encoding and decoding of frames: lag, forward fill, runs and code rows.
 
 Pixel tables have frame, idx, px and may have movie. Temporal steps part by
-(movie, idx) and run segmentation by (movie, frame), so neither needs a task
-to hold more than one pixel's history or one frame.
+(movie, idx, block of frames) and run segmentation by (movie, frame), so a task
+holds no more than a block of one pixel's history or one frame.
 """
 
 from __future__ import annotations
@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.pixels import div
+from . import blocks
+
+#: Frames of a block of a pixel's history.
+FRAMES = 256
+
 
 def movie_of(df: DataFrame) -> list[str]:
     return ["movie"] if "movie" in df.columns else []
@@ -20,9 +26,18 @@ def _by(df: DataFrame, *columns: str):
     return Window.partitionBy(*movie_of(df), *columns)
 
 
-def with_previous(pixels: DataFrame) -> DataFrame:
-    """old_px: the pixel at the same place one frame earlier, null in the first frame."""
-    return pixels.withColumn("old_px", F.lag("px").over(_by(pixels, "idx").orderBy("frame")))
+def with_previous(pixels: DataFrame, block: int = FRAMES) -> DataFrame:
+    """old_px: the pixel at the same place one frame earlier, null in the first frame.
+
+    Frames are dealt to blocks, and the last frame of a block goes to the next
+    one too, so a task sorts no more than a block of a pixel's history.
+    """
+    at = div(F.col("frame"), block)
+    last = F.pmod("frame", F.lit(block)) == block - 1
+    to = F.explode(F.when(last, F.array(at, at + 1)).otherwise(F.array(at)))
+    rows = pixels.select(*pixels.columns, to.alias("_block"))
+    rows = rows.withColumn("old_px", F.lag("px").over(_by(pixels, "idx", "_block").orderBy("frame")))
+    return rows.where(div(F.col("frame"), block) == F.col("_block")).drop("_block")
 
 
 def delta_pixels(pixels: DataFrame) -> DataFrame:
@@ -114,14 +129,14 @@ def decode_fill(stored: DataFrame, frames: DataFrame, frame_px: int) -> DataFram
     m = movie_of(frames)
     grid = frames.select(*m, "frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frame_px - 1).cast("long"))).alias("idx"))
     both = grid.join(stored, [*m, "frame", "idx"], "left")
-    w = _by(both, "idx").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("px", F.last("px", ignorenulls=True).over(w))
+    filled = blocks.carried(both, [*m, "idx"], "frame", "px", "_px", block=FRAMES)
+    return filled.withColumn("px", F.col("_px")).drop("_px")
 
 
 def gops(classes: DataFrame) -> DataFrame:
     """gop: the number of true keyframes (key, not nop) up to a frame. classes: frame, frame_class."""
-    w = _by(classes).orderBy("frame") if movie_of(classes) else Window.orderBy("frame")
-    return classes.withColumn("gop", F.sum((F.col("frame_class") == "key").cast("long")).over(w))
+    key = (F.col("frame_class") == "key").cast("long")
+    return blocks.running_sum(classes, movie_of(classes), "frame", key, "_before").withColumn("gop", F.col("_before") + key).drop("_before")
 
 
 def seek_start(classes: DataFrame, target: int) -> DataFrame:

@@ -10,7 +10,7 @@ from .delta import movie_of
 
 
 def xy(width: int):
-    return F.pmod(F.col("idx"), F.lit(width)), F.floor(F.col("idx") / width).cast("long")
+    return F.pmod(F.col("idx"), F.lit(width)), P.div(F.col("idx"), width)
 
 
 def crop(pixels: DataFrame, width: int, height: int, x: int, y: int, w: int, h: int) -> DataFrame:
@@ -45,7 +45,7 @@ def half_box(pixels: DataFrame, width: int, height: int) -> DataFrame:
     resampling is not reproducible. An odd last column or row is left out."""
     w, h = width // 2, height // 2
     cx, cy = xy(width)
-    at = pixels.where((cx < 2 * w) & (cy < 2 * h)).withColumn("to", (F.floor(cy / 2) * w + F.floor(cx / 2)).cast("long"))
+    at = pixels.where((cx < 2 * w) & (cy < 2 * h)).withColumn("to", P.div(cy, 2) * w + P.div(cx, 2))
     px = F.col("px")
     sums = at.groupBy(*movie_of(pixels), "frame", "to").agg(*[F.shiftright(F.sum(fn(px)), 2).alias(n) for n, fn in (("a", P.alpha), ("r", P.red), ("g", P.green), ("b", P.blue))])
     return sums.select(*movie_of(pixels), "frame", F.col("to").alias("idx"), P.pack(F.col("a"), F.col("r"), F.col("g"), F.col("b")).alias("px"))
@@ -57,7 +57,7 @@ def resize_nearest(pixels: DataFrame, width: int, height: int, w: int, h: int) -
     cx, cy = xy(width)
 
     def targets(c, size, to):
-        lo, hi = F.floor((c * to + size - 1) / size).cast("long"), F.floor(((c + 1) * to - 1) / size).cast("long")
+        lo, hi = P.div(c * to + size - 1, size), P.div((c + 1) * to - 1, size)
         return F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
     rows = pixels.select(*movie_of(pixels), "frame", "px", targets(cx, width, w).alias("xs"), F.explode(targets(cy, height, h)).alias("ty"))
@@ -72,4 +72,4 @@ def flatten(pixels: DataFrame, frame_px: int, bpp: int = 24) -> DataFrame:
 
 
 def unflatten(flat: DataFrame, frame_px: int) -> DataFrame:
-    return flat.select(*movie_of(flat), F.floor(F.col("flat_idx") / frame_px).cast("long").alias("frame"), F.pmod("flat_idx", F.lit(frame_px)).alias("idx"), "px")
+    return flat.select(*movie_of(flat), P.div(F.col("flat_idx"), frame_px).alias("frame"), F.pmod("flat_idx", F.lit(frame_px)).alias("idx"), "px")

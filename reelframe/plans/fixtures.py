@@ -14,8 +14,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _frames(df: DataFrame, key: str, size: int) -> DataFrame:
     """frame and idx by a dense key; an incomplete last frame is dropped. Its count is one aggregated row."""
-    whole = df.agg(F.floor(F.count("*") / size).alias("whole"))
-    at = df.withColumn("frame", F.floor(F.col(key) / size).cast("long")).withColumn("idx", F.pmod(F.col(key), F.lit(size)).cast("long"))
+    whole = df.agg(P.div(F.count("*"), size).alias("whole"))
+    at = df.withColumn("frame", P.div(F.col(key), size)).withColumn("idx", F.pmod(F.col(key), F.lit(size)).cast("long"))
     return at.where(F.col("frame") < whole.scalar())
 
 
@@ -56,7 +56,7 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = orders(spark, sf_dir).agg(F.count("*").alias("n"))
     rows = [("std", 10, 10, 24, 100), ("tiny", 2, 1, 24, 2), ("rgba", 10, 10, 32, 100)]
     made = spark.createDataFrame(rows, "movie string, width int, height int, bpp int, size int")
-    return made.withColumn("n", n.scalar()).select("movie", F.lit(3).alias("version"), "width", "height", "bpp", (F.lit(1.0).cast("float") / F.lit(24.0).cast("float")).cast("float").alias("frame_duration"), F.floor(F.col("n") / F.col("size")).cast("int").alias("num_frames"), F.lit(False).alias("all_keyframes"))
+    return made.withColumn("n", n.scalar()).select("movie", F.lit(3).alias("version"), "width", "height", "bpp", (F.lit(1.0).cast("float") / F.lit(24.0).cast("float")).cast("float").alias("frame_duration"), P.div(F.col("n"), F.col("size")).cast("int").alias("num_frames"), F.lit(False).alias("all_keyframes"))
 
 
 def fps_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +76,5 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mov_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        k.alias("sample"), F.floor(k / 4).cast("long").alias("chunk"), (F.pmod(k * 7919, F.lit(4096)) + 1).alias("size"), (F.pmod(k, F.lit(3)) * 2 + 2).alias("dur")
+        k.alias("sample"), P.div(k, 4).alias("chunk"), (F.pmod(k * 7919, F.lit(4096)) + 1).alias("size"), (F.pmod(k, F.lit(3)) * 2 + 2).alias("dur")
     )

@@ -294,7 +294,7 @@ ORACLE = {
     "movie_names": "select movie, movie || '_rgb.anim' as name_rgb, movie || '_alpha.anim' as name_alpha, movie || '_mix.anim' as name_mix, movie || '_q1.anim' as name_q1 from (values ('std'), ('tiny'), ('rgba')) t(movie)",
     "mov_frame_to_sample": f"select unnest(range(s // 2, (s + dur) // 2)) as frame, sample from (select *, cast(coalesce(sum(dur) over (order by sample rows between unbounded preceding and 1 preceding), 0) as bigint) as s from ({MOV}))",
     "mov_start_times": f"select sample, cast(coalesce(sum(dur) over (order by sample rows between unbounded preceding and 1 preceding), 0) as bigint) as start_time from ({MOV})",
-    "mov_frame_step": f"select min(dur) as smallest, cast(sum(dur) as bigint) as total, max(size) as largest_size from ({MOV})",
+    "mov_frame_step": f"select min(dur) as smallest, cast(sum(dur) as bigint) as total, max(size) as largest_size, min(dur) <> 1 as valid from ({MOV})",
     "mov_chunk_asof": f"select chunk, (chunk // 10 * 10) % 7 + 1 as samples_per_chunk from (select distinct chunk from ({MOV}))",
     "mov_sample_offset": f"select sample, cast(chunk * 16384 + coalesce(sum(size) over (partition by chunk order by sample rows between unbounded preceding and 1 preceding), 0) as bigint) as file_offset from ({MOV})",
     "mov_sync_flag": f"select sample, sample % 12 = 0 as is_key from ({MOV})",
@@ -302,8 +302,12 @@ ORACLE = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from . import file_queries
+
+    return QUERIES | file_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from . import file_queries
+
+    return ORACLE | file_queries.ORACLE

@@ -8,6 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from reelframe.operators import blocks, combine, delta
+from reelframe.plans import files
 from reelframe.sources import codec, container, images, quicktime
 from reelframe.streaming import decode as streaming
 
@@ -59,6 +61,29 @@ def some_movie(n=12, frames=9, bpp=24, seed=1):
     return out
 
 
+def plain_file(kinds, datas, adlers, width, height, bpp, duration):
+    """A whole version 3 file, laid out frame by frame."""
+    page = lambda n: -(-n // codec.PAGE) * codec.PAGE
+    at, entries, body = container.HEADER_SIZE + len(kinds) * container.ENTRY_V3.size, [], {}
+    for kind, data, adler in zip(kinds, datas, adlers):
+        if kind == "nop":
+            offset, length, flags, _ = entries[-1]
+            entries.append((offset, length, flags | container.NOP, 0))
+            continue
+        at = page(at) if kind == "key" else at
+        entries.append((at, len(data), container.KEY if kind == "key" else 0, adler))
+        body[at] = data
+        at += len(data)
+        at = page(at) if kind == "key" else at
+    out = bytearray(at)
+    head = container.pack_header(width, height, bpp, duration, len(kinds), "delta" not in kinds)
+    start = head + b"".join(container.pack_entry(*e) for e in entries)
+    out[: len(start)] = start
+    for offset, data in body.items():
+        out[offset : offset + len(data)] = data
+    return bytes(out)
+
+
 def build(px, bpp, width, height, every=10000):
     old, parts = None, []
     for i, p in enumerate(px):
@@ -66,7 +91,7 @@ def build(px, bpp, width, height, every=10000):
         parts.append((kind, data, 0 if kind == "nop" else codec.adler(p, bpp)))
         old = p
     kinds, datas, adlers = zip(*parts)
-    return container.assemble(list(kinds), list(datas), list(adlers), width, height, bpp, 1 / 24)
+    return plain_file(list(kinds), list(datas), list(adlers), width, height, bpp, 1 / 24)
 
 
 @pytest.mark.parametrize("bpp,every,n", [(16, 10000, 15), (24, 4, 12), (32, 10000, 15)])
@@ -86,22 +111,67 @@ def test_read_and_decode(spark, tmp_path, bpp, every, n):
     assert bytes(dumps[0].data) == struct.pack("<II", n, 1) + px[0].tobytes()
 
 
-def test_encode_and_write_from_long_pixels(spark, tmp_path):
+@pytest.mark.parametrize("every", [10000, 3])
+def test_encode_and_write_from_long_pixels(spark, tmp_path, every):
     px = some_movie()
     rows = [(m, f, i, int(x)) for m in ("a.anim", "b.anim") for f, p in enumerate(px) for i, x in enumerate(p)]
     long = spark.createDataFrame(rows, "movie string, frame long, idx long, px long")
-    files = container.to_files(container.encode(long, 24), 4, 3, 24, 1 / 24)
-    container.write_files(files, str(tmp_path / "out"))
+    container.write_movies(container.encode(long, 24, every), str(tmp_path / "out"), 4, 3, 24, 1 / 24)
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.anim", "b.anim"]
-    assert (tmp_path / "out/a.anim").read_bytes() == build(px, 24, 4, 3)
+    assert (tmp_path / "out/a.anim").read_bytes() == (tmp_path / "out/b.anim").read_bytes() == build(px, 24, 4, 3, every)
     back = container.read_pixels(spark, str(tmp_path / "out"))
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+    again = container.to_pixels(container.decode(container.read_frame_data(spark, str(tmp_path / "out"))))
+    assert sorted(map(tuple, again.collect())) == sorted(rows)
     spark.dataSource.register(container.AnimationSource)
     for table, count in (("movies", 2), ("frames", 18), ("frame_data", 18)):
-        assert spark.read.format("animation").option("table", table).option("framesPerPartition", "4").load(str(tmp_path / "out")).count() == count
+        assert spark.read.format("animation").option("table", table).option("bytesPerPartition", "20000").load(str(tmp_path / "out")).count() == count
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payloads_are_not_shuffled_by_movie_alone(spark, tmp_path):
+    """Files: only the narrow index is dealt, by gop. Rows with payloads: by movie and frame, and by movie and gop."""
+    (tmp_path / "a.anim").write_bytes(build(some_movie(), 24, 12, 1))
+    plan = plan_of(container.decode_files(spark, str(tmp_path)))
+    assert "hashpartitioning(path" in plan and "data#" not in plan[plan.index("Exchange") :]
+    spark.createDataFrame([], container.FRAME_DATA).write.parquet(str(tmp_path / "rows"))
+    data = spark.read.parquet(str(tmp_path / "rows"))
+    plan = plan_of(container.decode(data)).splitlines()
+    alone = [i for i, x in enumerate(plan) if "Exchange hashpartitioning(movie#" in x and x.count("#") == 1]
+    assert alone and not any("data#" in x for x in plan[alone[0] :])  # only the totals of blocks, of the narrow side
+    encoded = plan_of(container.encode_frames(spark.createDataFrame([], "movie string, frame long, data binary"), 24))
+    assert "Window" not in encoded
+
+
+def test_first_frames_and_lengths_are_checked(spark, tmp_path):
+    bad = spark.createDataFrame([("a", 0, "nop", 0, b""), ("a", 1, "key", 1, b"abcd")], container.ENCODED)
+    with pytest.raises(Exception, match="nop"):
+        container.write_movies(bad, str(tmp_path / "x"), 1, 1, 24, 1.0)
+    one = spark.createDataFrame([("a", 0, "key", 1, b"abcd")], container.ENCODED)
+    with pytest.raises(Exception, match="two frames"):
+        container.write_movies(one, str(tmp_path / "y"), 1, 1, 24, 1.0)
+    assert container.fits(0xFFFFFF, 2) and not container.fits(0x1000000, 2) and container.fits(0x1000000, 3)
+    with pytest.raises(ValueError):
+        container.pack_entry(0, 0x1000000, 1, 0, version=2)
+
+
+def test_a_cut_file_is_an_error(spark, tmp_path):
+    data = build(some_movie(), 24, 12, 1)
+    (tmp_path / "a.anim").write_bytes(data[: codec.PAGE + 20])
+    with pytest.raises(Exception, match="beyond the file"):
+        container.read_frame_data(spark, str(tmp_path)).count()
+    spark.dataSource.register(container.AnimationSource)
+    with pytest.raises(Exception, match="beyond the file"):
+        spark.read.format("animation").option("table", "frame_data").load(str(tmp_path)).count()
+    (tmp_path / "a.anim").write_bytes(data[:100])
+    with pytest.raises(Exception, match="beyond the file"):
+        container.read_frames(spark, str(tmp_path)).count()
 
 
-def test_version_2_index_and_refusals(tmp_path):
+def test_version_2_index_and_refusals(spark, tmp_path):
     px = some_movie(4, 2)
     entries = b"".join(container.ENTRY_V2.pack(codec.PAGE * (i + 1), 16 << 8 | container.KEY, codec.adler(p, 24)) for i, p in enumerate(px))
     head = lambda version=2, frames=2, magic=container.MAGIC: container.HEADER.pack(magic, 4, 1, 24, 0.5, frames, version)
@@ -110,10 +180,17 @@ def test_version_2_index_and_refusals(tmp_path):
     for bad in (head(magic=0), head(version=1), head(frames=1), head(version=9), b""):
         with pytest.raises(ValueError):
             container.read_header(bad)
+    assert container.is_valid(head()) and not container.is_valid(head(magic=0))
     old = head(version=1) + entries
     old += bytes(codec.PAGE - len(old)) + b"".join(p.tobytes().ljust(codec.PAGE, b"\0") for p in px)
-    new = container.upgrade(old)
-    assert container.read_header(new)["version"] == 3 and container.read_header(new)["all_keyframes"]
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/a.anim").write_bytes(old)
+    (tmp_path / "new").mkdir()
+    container.upgrade_movies(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    assert container.read_movies(spark, str(tmp_path / "new")).first().version == 3
+    assert [r.px for r in container.read_pixels(spark, str(tmp_path / "new")).orderBy("frame", "idx").collect()] == [int(x) for p in px for x in p]
+    with pytest.raises(ValueError, match="no upgrade"):
+        container.upgrade_movies(spark, str(tmp_path / "new"), str(tmp_path / "new"))
 
 
 def test_wrong_checksum_is_found(spark, tmp_path):
@@ -156,10 +233,120 @@ def test_png_filters(kind):
             out.append((x - guess) & 255)
         coded.append(np.array(out, np.uint8))
         up = line
-    up = np.zeros(12, np.uint8)
-    for line, plain in zip(coded, rows):
-        up = images._unfilter(kind, line, up, 3)
-        assert (up == plain).all()
+    lines = np.concatenate([np.full((3, 1), kind, np.uint8), np.array(coded)], 1)
+    assert (images.unfilter(lines, np.zeros(12, np.uint8), 3) == rows).all()
+    assert (images.unfilter(lines[1:], rows[0], 3) == rows[1:]).all()
+
+
+def make_png(width, height, depth, colour, raw, extra=(), interlaced=0):
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)
+    return images._SIGNATURE + images._chunk(b"IHDR", head) + b"".join(images._chunk(*x) for x in extra) + images._chunk(b"IDAT", zlib.compress(raw)) + images._chunk(b"IEND", b"")
+
+
+def test_png_kinds():
+    words = lambda data: [f"{x:08X}" for x in images.read_png(data)[0].tolist()]
+    palette = (b"PLTE", bytes([255, 0, 0, 0, 255, 0, 0, 0, 255]))
+    assert words(make_png(3, 1, 2, 3, b"\0" + bytes([0b00011000]), [palette, (b"tRNS", bytes([255, 0, 51]))])) == ["FFFF0000", "00000000", "33000033"]
+    assert words(make_png(3, 1, 1, 0, b"\0" + bytes([0b10100000]))) == ["FFFFFFFF", "FF000000", "FFFFFFFF"]
+    assert words(make_png(2, 1, 4, 0, b"\0" + bytes([0x5F]), [(b"tRNS", b"\0\x05")])) == ["00000000", "FFFFFFFF"]
+    assert words(make_png(2, 1, 8, 2, b"\0" + bytes([1, 2, 3, 4, 5, 6]), [(b"tRNS", bytes([0, 1, 0, 2, 0, 3]))])) == ["00000000", "FF040506"]
+    assert words(make_png(1, 1, 16, 6, b"\0" + bytes([0x12, 0, 0x34, 0, 0x56, 0, 0xFF, 0xFF]))) == ["FF123456"]
+    with pytest.raises(ValueError):
+        images.read_png(make_png(1, 1, 4, 2, b"\0\0"))
+    with pytest.raises(ValueError, match="palette"):
+        images.read_png(make_png(1, 1, 8, 3, b"\0\x05", [palette]))
+    with pytest.raises(ValueError, match="few rows"):
+        images.read_png(make_png(1, 3, 8, 0, b"\0\x05"))
+
+
+@pytest.mark.parametrize("width,height", [(1, 1), (5, 3), (8, 8), (13, 9)])
+def test_interlaced_png(width, height):
+    rng = np.random.default_rng(width)
+    grey = rng.integers(0, 256, (height, width)).astype(np.uint8)
+    raw = b""
+    for x, y, dx, dy in images._PASSES:
+        part = grey[y::dy, x::dx]
+        if part.size:
+            raw += b"".join(b"\0" + row.tobytes() for row in part)
+    px, w, h = images.read_png(make_png(width, height, 8, 0, raw, interlaced=1))
+    assert (w, h) == (width, height) and (px & 255 == grey.reshape(-1)).all()
+
+
+def test_flat_pictures_are_checked(spark, tmp_path):
+    px = some_movie(12, 4)
+    frames = spark.createDataFrame([("m", f, p.tobytes()) for f, p in enumerate(px)], "movie string, frame long, data binary")
+    images.write_flat(frames, str(tmp_path), 4, 3, 24, 4)
+    back, w, h = images.read_png((tmp_path / "m.png").read_bytes())
+    assert (w, h) == (4, 12) and ((back & 0xFFFFFF) == np.concatenate(px)).all()
+    got = images.read_flat(spark, str(tmp_path), 4, 3).orderBy("frame").collect()
+    assert [(np.frombuffer(r.data, "<u4") & 0xFFFFFF).tolist() for r in got] == [p.tolist() for p in px]
+    for w, h in ((3, 4), (4, 5)):
+        with pytest.raises(Exception, match="isn't made of frames"):
+            images.read_flat(spark, str(tmp_path), w, h).count()
+    with pytest.raises(Exception, match="are expected"):
+        images.write_flat(frames, str(tmp_path / "x"), 4, 3, 24, 5)
+    with pytest.raises(ValueError, match="16 bits"):
+        images.write_flat(frames, str(tmp_path / "x"), 4, 3, 16, 4)
+
+
+def test_a_sequence_of_one_is_an_error(spark, tmp_path):
+    for n in (3, 5, 6):
+        (tmp_path / f"F{n:04d}.png").write_bytes(images.png(np.zeros(4, np.uint32), 2, 2, 24))
+    with pytest.raises(Exception, match="two files"):
+        images.sequence_of(spark, str(tmp_path / "F0003.png")).count()
+    assert images.sequence_of(spark, str(tmp_path / "F0005.png")).count() == 2
+
+
+def two_movies(spark, change=None):
+    rows = [(f, i, 10 * f + i) for f in range(3) for i in range(4)]
+    other = [r for r in rows if r != change]
+    return [spark.createDataFrame(r, "frame long, idx long, px long") for r in (rows, other)]
+
+
+@pytest.mark.parametrize("operator", [combine.join_alpha, combine.differing, combine.overlay, combine.mix_straight])
+def test_operators_on_two_movies_check_their_shapes(spark, operator):
+    shape = {"width": 2, "height": 2, "bpp": 24, "frame_duration": 0.5, "num_frames": 3}
+    a, b = two_movies(spark)
+    if operator is combine.join_alpha:
+        b = b.withColumn("px", b.px * 65793)
+    assert operator(a, b, shapes=(shape, shape)).count() >= 0
+    for field, value in (("width", 3), ("num_frames", 4), ("bpp", 16)):
+        with pytest.raises(ValueError):
+            operator(a, b, shapes=(shape, {**shape, field: value}))
+    with pytest.raises(ValueError, match="bits"):
+        operator(a, b, shapes=({**shape, "bpp": 16}, {**shape, "bpp": 16}))
+    for part in (a.where("frame < 2"), a.where("frame < 2 or idx < 3")) if operator is not combine.mix_straight else (a.where("frame < 2"),):
+        for pair in ((part, b), (b, part)):
+            pair = [p.withColumn("px", p.px * 0) for p in pair]
+            with pytest.raises(Exception, match="only one movie"):
+                operator(*pair).collect()
+
+
+def test_unmixing_needs_whole_pairs(spark):
+    px = spark.createDataFrame([(f, i, 0) for f in range(3) for i in range(2)], "frame long, idx long, px long")
+    with pytest.raises(Exception, match="odd number"):
+        combine.unmix_alpha(px).collect()
+    with pytest.raises(Exception, match="without its colours"):
+        combine.unmix_alpha(px.where("frame > 0").withColumn("frame", px.frame)).where("frame >= 0").collect()
+
+
+def test_blocks_give_what_windows_give(spark):
+    rng = np.random.default_rng(5)
+    rows = [(m, int(a), int(v) if v > 2 else None) for m in "ab" for a, v in zip(rng.permutation(300)[:200], rng.integers(0, 9, 200))]
+    df = spark.createDataFrame(rows, "movie string, at long, v long")
+    got = {(r.movie, r.at): (r.s, r.c) for r in blocks.carried(blocks.running_sum(df, ["movie"], "at", "v", "s", 7), ["movie"], "at", "v", "c", block=7).collect()}
+    for m in "ab":
+        total, last = 0, None
+        for _, a, v in sorted((r for r in rows if r[0] == m), key=lambda r: r[1]):
+            last = v if v is not None else last
+            assert got[m, a] == (total, last)
+            total += v or 0
+
+
+def test_previous_pixels_across_blocks(spark):
+    rows = [(f, i, f * 10 + i) for f in range(20) for i in range(3)]
+    got = delta.with_previous(spark.createDataFrame(rows, "frame long, idx long, px long"), block=4).collect()
+    assert sorted((r.frame, r.idx, r.px, r.old_px) for r in got) == [(f, i, p, p - 10 if f else None) for f, i, p in rows]
 
 
 def test_quicktime_samples():
@@ -180,23 +367,51 @@ def test_quicktime_samples():
     assert frame32.tolist() == [0x80800008]
 
 
-def test_quicktime_tables():
-    def atom(kind, body):
-        return struct.pack(">I4s", 8 + len(body), kind) + body
+def mov(samples, durations, bpp=24, **changes):
+    data = files.quicktime_file(samples, durations, [0], 4, 2, bpp)
+    for old, new in changes.get("replace", []):
+        assert old in data
+        data = data.replace(old, new, 1)
+    return data
 
-    def table(form, *rows):
-        return struct.pack(">II", 0, len(rows)) + b"".join(struct.pack(form, *r) for r in rows)
 
-    entry = bytearray(86)
-    struct.pack_into(">I4s", entry, 0, 86, b"rle ")
-    struct.pack_into(">HH", entry, 32, 4, 2)
-    struct.pack_into(">H", entry, 82, 24)
-    stbl = atom(b"stsd", struct.pack(">II", 0, 1) + entry) + atom(b"stts", table(">II", (3, 20))) + atom(b"stsc", table(">III", (1, 2, 1), (2, 1, 1)))
-    stbl += atom(b"stsz", struct.pack(">III", 0, 0, 3) + struct.pack(">III", 5, 6, 7)) + atom(b"stco", table(">I", (100,), (200,))) + atom(b"stss", table(">I", (1,)))
-    mdia = atom(b"mdhd", struct.pack(">IIIII", 0, 0, 0, 600, 60)) + atom(b"hdlr", struct.pack(">II4s", 0, 0, b"vide") + bytes(12)) + atom(b"minf", atom(b"stbl", stbl))
-    got = quicktime.parse(atom(b"moov", atom(b"trak", atom(b"mdia", mdia))))
+def test_quicktime_tables(spark, tmp_path):
+    samples = [files._rle(np.arange(8, dtype=np.uint32) + i, None, 4, 24) for i in range(6)]
+    data = mov(samples, [20, 20, 40, 20, 20, 20])
+    got = quicktime.parse(data[data.index(b"moov") - 4 :])
     assert (got["width"], got["height"], got["bpp"], got["time_scale"]) == (4, 2, 24, 600)
-    assert got["durations"] == [20] * 3 and got["sizes"] == [5, 6, 7] and got["chunks"] == [100, 200] and got["firsts"] == [(0, 2), (1, 1)] and got["sync"] == [1]
+    assert got["durations"] == [20, 20, 40, 20, 20, 20] and got["sizes"] == [len(s) for s in samples] and got["firsts"] == [(0, 4), (1, 2)] and got["sync"] == [1]
+    (tmp_path / "a.mov").write_bytes(data)
+    rows = quicktime.read_samples(spark, str(tmp_path)).orderBy("sample").collect()
+    assert [data[r.file_offset : r.file_offset + r.size] for r in rows] == samples and {r.step for r in rows} == {20}
+    frames = quicktime.decode_files(spark, str(tmp_path)).orderBy("frame").collect()
+    assert [r.is_duplicate for r in frames] == [False, False, False, True, False, False, False]
+    assert [np.frombuffer(r.data, "<u4").tolist() for r in frames] == [(np.arange(8) + i).tolist() for i in (0, 1, 2, 2, 3, 4, 5)]
+
+
+@pytest.mark.parametrize(
+    "old,new",
+    [(b"mhlrvide", b"mhlrsoun"), (b"dhlralis", b"dhlrurl "), (b"dhlralis", b"mhlrvide"), (b"videappl", b"videxxxx"), (b"rle \0", b"jpeg\0"), (b"\x09Animation", b"\x05Video\0\0\0\0"), (b"\x00\x18\xff\xff", b"\x00\x18\x00\x08"), (b"\x00\x18\xff\xff", b"\x00\x08\xff\xff"), (b"stts", b"xxxx"), (b"\x00\x01\x00\x00", b"\x00\x02\x00\x00")],
+)
+def test_quicktime_refusals(old, new):
+    data = mov([files._rle(np.zeros(8, np.uint32), None, 4, 24)] * 2, [20, 20])
+    moov = data[data.index(b"moov") - 4 :]
+    at = moov.index(old)
+    if old == b"\x00\x01\x00\x00":
+        at = moov.index(b"\x00\x01\x00\x00", moov.index(b"elst") + 12)
+    bad = moov[:at] + new + moov[at + len(old) :]
+    with pytest.raises(ValueError):
+        quicktime.parse(bad)
+
+
+def test_a_least_duration_of_one_is_refused(spark, tmp_path):
+    (tmp_path / "a.mov").write_bytes(mov([files._rle(np.zeros(8, np.uint32), None, 4, 24)] * 2, [1, 20]))
+    with pytest.raises(Exception, match="duration"):
+        quicktime.decode_files(spark, str(tmp_path)).count()
+    with pytest.raises(ValueError, match="more than one track"):
+        data = mov([b"123456"] * 2, [20, 20])
+        moov = data[data.index(b"moov") + 4 :]
+        quicktime.parse(struct.pack(">I4s", 8 + 2 * len(moov), b"moov") + moov * 2)
 
 
 def test_streams_give_what_batches_give(spark, tmp_path):

@@ -3,7 +3,9 @@
 import pytest
 from sqlcheck import check_against_sql
 
-from reelframe.queries import ORACLE, QUERIES
+from reelframe.queries import oracle_sql, queries
+
+QUERIES, ORACLE = queries(), oracle_sql()
 
 
 def test_every_query_has_sql():
