@@ -25,9 +25,11 @@ LED_ROWS, TILE_SHINGLES, BITS = 8192, 1 << 21, 1024
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(20240229)
-_ODD = _RANDOM.integers(1, 2**63, size=(MINIMA,), dtype=np.uint64) * 2 + 1
+_ODD = _RANDOM.integers(0, 2**31, size=(MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RANDOM.integers(0, 2**32, size=(MINIMA, 1), dtype=np.uint32)
 _PICKS = np.array([_RANDOM.choice(MINIMA, CHOSEN, replace=False) for _ in range(KEYS)])
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M3, _M4 = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,14 +62,17 @@ def shingles(text: bytes | None, words: Words, n: int = SHINGLE) -> np.ndarray:
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    """16 bits of each of MINIMA least values of a set under independent multiply-rotate hashes."""
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(s), 4096):  # bounded memory for very long texts
-        x = s[lo : lo + 4096, None] * _ODD[None, :]
-        x ^= x >> np.uint64(32)
-        x *= _M1
-        least = np.minimum(least, x.min(0))
-    return (_mix(least) & np.uint64(0xFFFF)).astype("<u2")
+    """16 bits of each of MINIMA least values of a set under independent 32-bit hashes (multiply, add, rotate)."""
+    folded = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(folded), 2048):  # bounded memory for very long texts
+        x = _ODD * folded[None, lo : lo + 2048]
+        x += _ADD
+        x ^= x >> np.uint32(15)
+        x *= _M3
+        np.minimum(least, x.min(1), out=least)
+    least = (least ^ (least >> np.uint32(16))) * _M4
+    return ((least ^ (least >> np.uint32(15))) & np.uint32(0xFFFF)).astype("<u2")
 
 
 def keys(least: np.ndarray) -> np.ndarray:
