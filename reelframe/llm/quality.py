@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_rows, map_rows, written
-from .sampling import labelled_sample
+from .sampling import known_labels, labelled_sample
 
 #: Documented bounds: training rows of each class, code points of a training text, preference pairs.
 ROWS_PER_CLASS, MAX_CHARS, PAIRS = 3000, 40_000, 60_000
@@ -56,7 +56,7 @@ BINS, REACH = 4096, 8.0
 
 
 class Quality:
-    """raw = w . x; score = sigmoid(slope * (raw - cut)), where cut is a quantile of the raw scores of all documents."""
+    """raw = w . x; score = sigmoid(slope * (raw - cut)), where cut is a quantile of raw scores, see cut_at_quantile."""
 
     def __init__(self, mean, scale, w, cut: float, slope: float, spread: float = 1.0):
         self.mean, self.scale, self.w, self.cut, self.slope, self.spread = mean, scale, w, cut, slope, spread
@@ -102,20 +102,19 @@ def fit_measures(m: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7
     return Quality(mean, scale, w, cut, slope, spread)
 
 
-def quantile_cut(bins: np.ndarray, counts: np.ndarray, share: float, error: float) -> int:
-    """The first bin above the cut: the quantile at `share` of the rows, which is known to within `error`.
+def quantile_cut(every: np.ndarray, labelled: np.ndarray, share: float, error: float) -> int:
+    """The first bin above the cut, from the counts by bin of all rows and of the labelled ones.
 
-    Of the cuts between the quantiles at share - error and share + error the one
-    is taken that has the fewest rows within a hundredth of the bins about it;
-    ties by the nearest to the quantile itself.
+    The cut is the quantile of the labelled rows at `share`, which they tell to
+    within `error`. Of the cuts between their quantiles at share - error and
+    share + error the one is taken that has the fewest of all rows within a
+    hundredth of the bins about it; ties by the nearest to the quantile itself.
     """
-    full = np.zeros(BINS, np.int64)
-    full[bins] = counts
-    below = np.concatenate([[0], np.cumsum(full)]) / max(1, full.sum())  # of each cut: the share of rows below it
+    below = np.concatenate([[0], np.cumsum(labelled)]) / max(1, labelled.sum())  # of each cut: the share of rows below it
     lo = max(1, int(np.searchsorted(below, share - error, side="right")) - 1)
     hi = min(BINS - 1, max(lo, int(np.searchsorted(below, share + error, side="left"))))
     near = BINS // 200
-    sums = np.concatenate([[0], np.cumsum(full)])
+    sums = np.concatenate([[0], np.cumsum(every)])
     cuts = np.arange(lo, hi + 1)
     about = sums[np.minimum(cuts + near, BINS)] - sums[np.maximum(cuts - near, 0)]
     return int(cuts[np.lexsort((np.abs(below[cuts] - share), about))[0]])
@@ -132,43 +131,50 @@ def raw_scores(docs: DataFrame, model: Quality, key: str = "doc_id") -> DataFram
     return map_rows(docs, [key, "text"], f"`{key}` {kind}, raw double", task)
 
 
-def cut_at_quantile(raws: DataFrame, model: Quality, prior: float, labelled: int) -> Quality:
-    """The model with its cut at the quantile of all raw scores that leaves the labels' share of class 0 below it.
+def cut_at_quantile(raws: DataFrame, labels: DataFrame, model: Quality, key: str = "doc_id") -> Quality:
+    """The model with its cut at the quantile of the raw scores of all labelled documents that leaves their share
+    of class 0 below it, placed where fewest of all documents are.
 
-    The labels tell that share to within two standard errors. The scores come as
-    a histogram of BINS bins, so a bounded number of rows reaches the driver.
+    Labelled documents tell that share to within two standard errors. They stand
+    for the documents whose labels are sought, while many copies of a text, or a
+    large source, would move a quantile of all rows. Scores come as histograms
+    of BINS bins, so a bounded number of rows reaches the driver.
     """
     low, width = model.cut - REACH * model.spread, 2 * REACH * model.spread / BINS
-    at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("raw") - low) / width))).cast("int")
-    counted = raws.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).collect()
-    if not counted or not labelled:
+    bins = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("raw") - low) / width))).cast("int").alias("bin")
+    every, labelled, bad = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64), 0
+    for r in raws.groupBy(bins).agg(F.count("*").alias("n")).collect():
+        every[r["bin"]] = r["n"]
+    once = raws.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.min("raw").alias("raw"))
+    for r in once.join(known_labels(labels, "quality"), "doc_id").groupBy(bins).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 0).alias("bad")).collect():
+        labelled[r["bin"]] = r["n"]
+        bad += r["bad"]
+    n = int(labelled.sum())
+    if not n or bad in (0, n):
         return model
-    bins, counts = np.array([r["bin"] for r in counted]), np.array([r["n"] for r in counted])
-    error = 2 * float(np.sqrt(prior * (1 - prior) / labelled))
-    return model.with_cut(low + width * quantile_cut(bins, counts, 1 - prior, error))
+    share = bad / n
+    return model.with_cut(low + width * quantile_cut(every, labelled, share, 2 * float(np.sqrt(share * (1 - share) / n))))
 
 
-def fit_ranking(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[Quality, float, int]:
-    """(the ranking, the share of class 1 among the labels, their number), from the bounded sample of labelled rows."""
-    texts, y, prior, labelled = labelled_sample(docs, labels, "quality", rows_per_class, max_chars)
-    y = np.array(y, dtype=int)
-    both = len(y) > 0 and y.min() < y.max()
-    return fit_measures(np.array([measures(t) for t in texts]), y), prior, labelled if both else 0
+def fit_ranking(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> Quality:
+    """The ranking, from the bounded sample of labelled rows."""
+    texts, y, _ = labelled_sample(docs, labels, "quality", rows_per_class, max_chars)
+    return fit_measures(np.array([measures(t) for t in texts]), np.array(y, dtype=int))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> Quality:
-    """The ranking with its cut, which is a quantile over all rows of docs. Without labels of both classes, or
-    without documents, every score is 0.5 or by the ranking's own middle."""
-    model, prior, labelled = fit_ranking(docs, labels, rows_per_class, max_chars)
-    return cut_at_quantile(raw_scores(docs, model), model, prior, labelled) if labelled else model
+    """The ranking with its cut, which all labelled rows and all rows of docs set. Without labels of both classes
+    every score is 0.5; without documents the cut is the middle of the classes."""
+    model = fit_ranking(docs, labels, rows_per_class, max_chars)
+    return cut_at_quantile(written(raw_scores(docs, model)), labels, model)
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
     """fit_quality and score_quality in one pass over the texts: raw scores are written, cut at their quantile and
     scored. key and score of every row, as score_quality gives them."""
-    model, prior, labelled = fit_ranking(docs, labels, rows_per_class, max_chars)
+    model = fit_ranking(docs, labels, rows_per_class, max_chars)
     raws = written(raw_scores(docs, model, key))
-    model = cut_at_quantile(raws, model, prior, labelled)
+    model = cut_at_quantile(raws, labels, model, key)
     z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.slope * (F.col("raw") - model.cut)))
     return raws.select(key, (1 / (1 + F.exp(-z))).alias("score"))
 

@@ -358,8 +358,8 @@ def test_the_sample_is_bounded_and_has_one_text_an_id(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
     for copies in (1, 3):
         docs = spark.createDataFrame([(i, f"{'zyx'[k]} text {i}") for i in range(4000) for k in range(copies)], "doc_id long, text string")
-        texts, y, prior, total = sampling.labelled_sample(docs, labels, "toxic", 100, 1000)
-        assert len(texts) == len(set(texts)) == 200 and sum(y) == 100 and 0.4 < prior < 0.6 and total > 2000
+        texts, y, prior = sampling.labelled_sample(docs, labels, "toxic", 100, 1000)
+        assert len(texts) == len(set(texts)) == 200 and sum(y) == 100 and 0.4 < prior < 0.6
         assert all(t[0] == "zyx"[copies - 1] for t in texts)
 
 
@@ -425,17 +425,30 @@ def test_ranking_against_brute_force():
     assert np.allclose(quality.bradley_terry(better, worse), w, atol=1e-4)
 
 
-def test_the_cut_is_a_quantile_of_all_documents(spark):
-    """The labels tell the share; the scores of all rows, labelled or not, set the cut, in the emptiest place about it."""
+@pytest.mark.parametrize("copies", [0, 20_000])
+def test_the_cut_is_a_quantile_of_all_labelled_documents(spark, copies):
+    """All labels tell the quantile, all documents the emptiest place about it; many copies of one document don't move it."""
     rng = np.random.default_rng(17)
     raw = np.concatenate([rng.normal(-3, 0.4, 2200), rng.normal(3, 0.4, 7800)])
     model = quality.Quality(0, 1, 0, 0.0, 1.0, 3.0)
-    raws = spark.createDataFrame([(float(x),) for x in raw], "raw double")
-    cut = quality.cut_at_quantile(raws, model, 0.79, 2000).cut
-    assert -2 < cut < 2
-    exact = quality.cut_at_quantile(raws, model, 0.9, 10**12).cut  # a share known for sure: the plain quantile
-    assert abs((raw < exact).mean() - 0.1) < 0.01
-    assert quality.cut_at_quantile(raws.limit(0), model, 0.5, 10).cut == 0.0
+    raws = spark.createDataFrame([(i, float(x)) for i, x in enumerate(raw)] + [(9999, 3.0)] * copies, "doc_id long, raw double")
+    labels = spark.createDataFrame([(i, int(i >= 2200)) for i in range(0, 10_000, 2)] + [(None, 0), (3, None)], "doc_id long, quality int")
+    model = quality.cut_at_quantile(raws, labels, model)
+    assert ((raw >= model.cut) == (np.arange(10_000) >= 2200)).all()
+    assert quality.cut_at_quantile(raws.limit(0), labels, model).cut == quality.cut_at_quantile(raws, labels.limit(0), model).cut == model.cut
+
+
+def test_quantile_cut_against_brute_force():
+    rng = np.random.default_rng(18)
+    labelled = rng.integers(0, 5, quality.BINS)
+    every = labelled + rng.integers(0, 50, quality.BINS)
+    for share, error in ((0.2, 0.0), (0.3, 0.01), (0.9, 0.05)):
+        got = quality.quantile_cut(every, labelled, share, error)
+        below = [labelled[:c].sum() / labelled.sum() for c in range(quality.BINS)]
+        assert share - error - 0.002 <= below[got] <= share + error + 0.002
+        near = quality.BINS // 200
+        about = lambda c: every[max(0, c - near) : c + near].sum()
+        assert all(about(got) <= about(c) for c in range(1, quality.BINS) if share - error < below[c] < share + error)
 
 
 def conversations(spark, rows):

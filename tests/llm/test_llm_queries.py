@@ -51,7 +51,7 @@ def auc(score, y):
 
 def test_toxicity_on_held_out_rows(spark):
     score, y, predicted = scores(spark, "op1_toxicity", "toxic", 0.7)
-    assert auc(score, y) > 0.8 and y[predicted == 1].mean() > 0.95 and predicted[y == 1].mean() > 0.55  # some of these labels mark texts without a sign
+    assert auc(score, y) > 0.95 and y[predicted == 1].mean() > 0.95 and predicted[y == 1].mean() > 0.8  # some of these labels mark texts without a sign
 
 
 def test_quality_on_held_out_rows(spark):
