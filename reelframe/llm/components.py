@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, written
+from .common import forget, split_join, written
 
 
 def _state(edges: DataFrame):
@@ -31,12 +31,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        met = split_join(both, _least(both), ["a"], "c", 2 * state[0])
+        near = _least(both)
+        met = split_join(both, near, ["a"], "c", 2 * state[0])
         large = written(met.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
         least = _least(large)
         met = split_join(large, least, ["a"], "c", state[0])
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = written(small.where("a <> b").distinct())
+        last, now = now, written(small.where("a <> b").distinct())
+        forget(last, near, large, least)
         after = _state(now)
         if after == state:
             break

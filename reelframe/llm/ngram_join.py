@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, split_join, stream_groups, written
+from .common import forget, map_rows, split_join, stream_groups, written
 from .components import connected_components
 
 SHINGLE, PERCENT = 4, 85
@@ -266,8 +266,8 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return map_rows(classes, ["node", "low", "high"], "node long, keys array<long>", task).select("node", F.explode("keys").alias("key"))
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) of classes such that linked classes are connected.
+def _candidates(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) of classes such that linked classes are connected, and the written tables that they are read from.
 
     A key that holds more than LED_ROWS classes is parted by hash, each part
     finds its leaders, and those are then compared among themselves, in blocks
@@ -305,7 +305,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     dealt = split_join(leaders, counts, ["key"], "c", counts.agg(F.sum("c")).first()[0] or 0).withColumn("job", F.explode(blocks))
     dealt = dealt.select(F.xxhash64("key", "job.i", "job.j").alias("h"), "job.side", (F.col("job.i") == F.col("job.j")).alias("alone"), "node", "low")
     more = stream_groups(dealt, ["h"], ["side"], "a long, b long", among_leaders)
-    return found.where("b is not null").select("a", "b").union(more)
+    return found.where("b is not null").select("a", "b").union(more), [counted, found, counts]
 
 
 def _arrays(docs: DataFrame) -> DataFrame:
@@ -381,11 +381,15 @@ def _rows(docs: DataFrame, percent: int, with_links: bool) -> DataFrame:
     copies = full.select("h1", "h2", "n", "doc_id").distinct().groupBy("h1", "h2", "n").agg(F.count("*").alias("copies"))
     nodes = written(nodes.join(copies.hint("merge"), ["h1", "h2", "n"]))
 
-    groups = connected_components(_candidates(classes)).select("node", F.col("component").alias("grp"))
+    edges, used = _candidates(classes)
+    groups = connected_components(edges).select("node", F.col("component").alias("grp"))
     groups = written(groups.join(nodes.select("node", "doc", "th", "copies").hint("merge"), "node"))
+    forget(classes, *used)
     # the groups grow with the table: one way at every size
     reps = docs.withColumn("th", F.xxhash64("text")).join(groups.withColumnRenamed("doc", "doc_id").hint("merge"), ["doc_id", "th"])
-    links = written(_links(written(_arrays(reps).dropDuplicates(["node"])), percent, with_links))
+    arrays = written(_arrays(reps).dropDuplicates(["node"]))
+    links = written(_links(arrays, percent, with_links))
+    forget(groups, arrays)
 
     found = connected_components(links.where("b is not null").select("a", "b"))
     found = written(nodes.join(found, "node").select("node", "component", "doc"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_rows, written
+from .common import forget, keep_rows, map_rows, written
 from .sampling import known_labels, labelled_sample
 
 #: Documented bounds: training rows of each class, code points of a training text, preference pairs.
@@ -166,7 +166,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_P
     """The ranking with its cut, which all labelled rows and all rows of docs set. Without labels of both classes
     every score is 0.5; without documents the cut is the middle of the classes."""
     model = fit_ranking(docs, labels, rows_per_class, max_chars)
-    return cut_at_quantile(written(raw_scores(docs, model)), labels, model)
+    raws = written(raw_scores(docs, model))
+    model = cut_at_quantile(raws, labels, model)
+    forget(raws)
+    return model
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows_per_class: int = ROWS_PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
