@@ -456,7 +456,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = _rows(docs, PERCENT, with_links=False)
     kept = found.where("doc_id is not null and (n_shingles = 0 or (first and doc_id = component_id))")
     # of a class's rows with the least doc_id, which may differ in white space, one
-    kept = kept.groupBy(F.col("doc_id").alias("_id"), F.coalesce("node", "th").alias("node"), "n_shingles").agg(F.min("th").alias("_th")).select("_id", "_th").distinct()
-    marked = docs.withColumn("_id", F.expr("try_cast(doc_id as long)")).withColumn("_th", F.xxhash64("text"))
-    once = marked.where("_id is not null").join(kept.hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+    kept = kept.groupBy(F.col("doc_id").alias("_reelframe_id"), F.coalesce("node", "th").alias("node"), "n_shingles").agg(F.min("th").alias("_reelframe_th")).select("_reelframe_id", "_reelframe_th").distinct()
+    marked = docs.withColumn("_reelframe_id", F.expr("try_cast(doc_id as long)")).withColumn("_reelframe_th", F.xxhash64("text"))
+    once = marked.where("_reelframe_id is not null").join(kept.hint("merge"), ["_reelframe_id", "_reelframe_th"]).dropDuplicates(["_reelframe_id", "_reelframe_th"])
     return once.select(*docs.columns).union(docs.where("try_cast(doc_id as long) is null"))
