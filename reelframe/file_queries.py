@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import queries as q
 from .functions import pixels as P
 from .functions import timing, words
-from .operators import aggregate, combine, delta, movtables
+from .operators import aggregate, combine, delta, movtables, spatial
 from .plans import files
 from .plans import fixtures as fx
 from .sources import container, images, quicktime
@@ -418,6 +418,24 @@ _SHAPES_SQL = """with m as (select movie, cast(width as double) as width, cast(h
   select x.movie as a, y.movie as b, x.field, x.v as first, y.v as second from u x join u y on x.field = y.field where x.movie = 'std' and x.v <> y.v"""
 
 
+def _join_alpha(s, d):
+    """Colours of one movie with the alpha of another: no round trip."""
+    return combine.join_alpha(fx.px_std(s, d), combine.split_alpha(fx.px_rgba(s, d)))
+
+
+def _unmix(s, d):
+    return combine.unmix_alpha(combine.mix_straight(fx.px_std(s, d), combine.split_alpha(fx.px_rgba(s, d))))
+
+
+def _unflatten(s, d):
+    px = F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).cast("long")
+    return spatial.unflatten(fx.orders(s, d).select(F.col("o_orderkey").alias("flat_idx"), px.alias("px")), 100)
+
+
+_OVER = f"""select s.frame, s.idx, cast(a * 16777216 + (a * ((s.px >> 16) & 255)) // 255 * 65536 + (a * ((s.px >> 8) & 255)) // 255 * 256 + (a * (s.px & 255)) // 255 as bigint) as px
+  from ({q.STD}) s join ({q._PARTS} from ({q.RGBA})) m on s.frame = m.frame and s.idx = m.idx"""
+
+
 def _clear(s, d):
     return fx.px_std(s, d).select("frame", "idx", P.clear(F.col("px")).alias("px"))
 
@@ -469,6 +487,9 @@ QUERIES = {
     "px_opaque_probe_both": _probes,
     "fps_parse_odd": _specs,
     "shape_mismatch": _shapes,
+    "joinalpha_other": _join_alpha,
+    "unmixalpha_other": _unmix,
+    "unflatten_other": _unflatten,
     "px_clear": _clear,
     "mov_frame_step_valid": _steps,
 }
@@ -514,6 +535,9 @@ ORACLE = {
     "px_opaque_probe_both": f"select 'std' as movie, false as has_alpha, 24 as bpp union all select 'rgba', bool_or(px >> 24 <> 255), case when bool_or(px >> 24 <> 255) then 32 else 24 end from ({q.RGBA})",
     "fps_parse_odd": _SPECS_SQL,
     "shape_mismatch": _SHAPES_SQL,
+    "joinalpha_other": _OVER,
+    "unmixalpha_other": _OVER,
+    "unflatten_other": "select o_orderkey // 100 as frame, o_orderkey % 100 as idx, cast(case when o_orderstatus = 'F' then 1 else 2 end as bigint) as px from orders",
     "px_clear": f"select frame, idx, cast(0 as bigint) as px from ({q.STD})",
     "mov_frame_step_valid": f"""select movie, min(case when d > 0 then d end) as smallest, cast(sum(d) as bigint) as total, max(size) as largest_size, min(case when d > 0 then d end) <> 1 as valid
       from (select *, dur - case when movie = 'bad' and sample % 9 = 0 then 1 else 0 end as d from ({q.MOV}), (select unnest(['good', 'bad']) as movie)) group by movie""",
