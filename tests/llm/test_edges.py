@@ -506,9 +506,10 @@ def brute_links(rows, threshold=0.93):
     return sorted([(i, n[k], None if i is None else group.find(i), i is None or group.find(i) == i) for k, (i, _, _) in enumerate(rows)], key=str)
 
 
-@pytest.mark.parametrize("cell,block,miss", [(16384, 16384, 0.02), (16384, 16, 0.02), (30, 16, 1e-6)])
-def test_embedding_dedup(spark, cell, block, miss, monkeypatch):
+@pytest.mark.parametrize("cell,block,values,miss", [(16384, 16384, 1 << 22, 0.02), (16384, 16, 1 << 22, 0.02), (16384, 16384, 900, 0.02), (30, 16, 1 << 22, 1e-6)])
+def test_embedding_dedup(spark, cell, block, values, miss, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "VALUES", values)
     rng, rows = np.random.default_rng(8), []
     for c in range(25):
         centre = rng.normal(size=32)
