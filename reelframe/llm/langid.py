@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held_out, keep_rows, map_rows, written
+from .common import held_out, keep_rows, map_rows, split_join, written
 
 #: Documented bounds of the training sample: rows and dictionary bytes of a language, code points of a training text.
 ROWS, DICT_BYTES, MAX_CHARS = 600, 112 * 1024, 40_000
@@ -61,17 +61,20 @@ def training_rows(docs: DataFrame, rows: int = ROWS, max_chars: int = MAX_CHARS,
     """lang, doc_id, text of at most `rows` documents a language, those of least hash of the id, that are not held
     out and have a language and a text with a letter that isn't longer than max_chars.
 
-    Ids alone are ranked: a rank limit cuts each task's rows before the shuffle,
-    so a language that holds most rows isn't sorted by one task. A document
+    Ids alone are ranked, and of a language with many only those of hashes so
+    small that about 4 * rows + 400 are left, so that no task ranks more than
+    that; that fewer than `rows` are left by it is out of question. A document
     that has several texts counts by the one of least hash.
     """
     known = docs.where(~held_out("doc_id", 4, 2)).where(F.col("lang").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", "doc_id", "text")
-    ids = known.groupBy("lang", "doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    least = written(ids.withColumn("rank", rank).where(F.col("rank") <= rows))
-    languages = least.where("rank = 1").count()
-    picked = least.where(F.col("rank") <= max(1, all_rows // max(1, languages))).select("lang", "doc_id", "h")
+    ids = written(known.groupBy("lang", "doc_id").agg(F.min(F.xxhash64("text")).alias("h")).withColumn("at", F.xxhash64("doc_id")))
+    counts = written(ids.groupBy("lang").agg(F.count("*").alias("n")))
+    languages, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    share = F.least(F.lit(1.0), (4 * rows + 400) / F.col("n"))  # `at` is uniform over 2**64 values
+    few = split_join(ids, counts, ["lang"], "n", total).where(F.col("at") <= share * 2.0**64 - 2.0**63)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
+    picked = few.withColumn("rank", rank).where(F.col("rank") <= max(1, min(rows, all_rows // max(1, languages)))).select("lang", "doc_id", "h")
     both = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "doc_id", "h"])
     return both.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
