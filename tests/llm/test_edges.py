@@ -26,7 +26,12 @@ ROWS = [(1, "one two three four five"), (2, None), (3, ""), (4, " \t\n"), (5, "O
 
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hot", [4, 1000, 10**6])
+def test_components_of_chains_and_stars(spark, hot, monkeypatch):
+    """With no node a hub, with some, and with nearly all of them."""
+    import reelframe.llm.common as common
+
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, x) for x in range(6, 40)] + [(200, 200), (None, 4)]
     rng.shuffle(edges)
