@@ -116,9 +116,13 @@ def entries_of(file, head: dict) -> Iterator[dict]:
             yield {**e, "gop": gop}
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """path and movie of the files, listed without their content."""
-    return spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("movie"))
+def _files(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
+    """path and movie of the files, listed without their content. With an extension, a file of another is an error."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("movie"))
+    if extension:
+        other = F.raise_error(F.concat(F.lit(f"not a .{extension} file: "), F.col("movie")))
+        files = files.withColumn("movie", F.when(F.endswith("movie", F.lit(f".{extension}")), F.col("movie")).otherwise(other))
+    return files
 
 
 def _names(schema: str) -> list[str]:
@@ -148,11 +152,11 @@ def _head(file, upgrade: bool = False) -> dict:
     return read_header(file.read_at(HEADER.size, 0), upgrade)
 
 
-def read_movies(spark: SparkSession, path: str, upgrade: bool = False) -> DataFrame:
-    return _map(_files(spark, path), MOVIES, lambda movie, file, _: [(movie, *_head(file, upgrade).values())])
+def read_movies(spark: SparkSession, path: str, upgrade: bool = False, extension: str | None = None) -> DataFrame:
+    return _map(_files(spark, path, extension), MOVIES, lambda movie, file, _: [(movie, *_head(file, upgrade).values())])
 
 
-def read_indexes(spark: SparkSession, path: str, upgrade: bool = False) -> DataFrame:
+def read_indexes(spark: SparkSession, path: str, upgrade: bool = False, extension: str | None = None) -> DataFrame:
     """The index rows with the movie's size, the frame's gop and the file's path."""
 
     def rows(movie, file, at):
@@ -161,11 +165,11 @@ def read_indexes(spark: SparkSession, path: str, upgrade: bool = False) -> DataF
             gop = e.pop("gop")
             yield (movie, *e.values(), head["width"], head["height"], head["bpp"], gop, at)
 
-    return _map(_files(spark, path), INDEX, rows)
+    return _map(_files(spark, path, extension), INDEX, rows)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    return read_indexes(spark, path).select(*_names(FRAMES))
+def read_frames(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
+    return read_indexes(spark, path, extension=extension).select(*_names(FRAMES))
 
 
 class _Payloads:
@@ -182,7 +186,7 @@ class _Payloads:
         return b"" if r.is_nop else read_at(self.file, r.offset, r.length, f"frame {r.frame} of {r.movie}")
 
 
-def read_frame_data(spark: SparkSession, path: str) -> DataFrame:
+def read_frame_data(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
     """Index rows with payloads. The narrow index is dealt by file and run of frames; each task reads its ranges."""
     names = _names(FRAME_DATA)
 
@@ -194,7 +198,7 @@ def read_frame_data(spark: SparkSession, path: str) -> DataFrame:
                 part["data"] = [payloads.of(r) for r in part.itertuples()]
                 yield part[names]
 
-    index = read_indexes(spark, path)
+    index = read_indexes(spark, path, extension=extension)
     dealt = index.repartition("path", div(F.col("frame"), FRAMES_A_TASK)).sortWithinPartitions("path", "frame")
     return dealt.mapInPandas(run, FRAME_DATA)
 
@@ -235,14 +239,14 @@ def _decoded(rows: DataFrame, verify: bool, payload) -> DataFrame:
     return rows.mapInPandas(run, DECODED)
 
 
-def decode_files(spark: SparkSession, path: str, verify: bool = True, upgrade: bool = False) -> DataFrame:
+def decode_files(spark: SparkSession, path: str, verify: bool = True, upgrade: bool = False, extension: str | None = None) -> DataFrame:
     """movie, frame, bpp, is_duplicate, data: every frame whole, from files.
 
     The narrow index is dealt by gop (the frames from a keyframe to the next),
     and each task reads and decodes its gops' payloads: payloads aren't shuffled,
     and a movie's gops decode in parallel.
     """
-    index = read_indexes(spark, path, upgrade).repartition("path", "gop").sortWithinPartitions("path", "gop", "frame")
+    index = read_indexes(spark, path, upgrade, extension).repartition("path", "gop").sortWithinPartitions("path", "gop", "frame")
     return _decoded(index, verify, lambda: _Payloads().of)
 
 
@@ -271,8 +275,8 @@ def to_pixels(decoded: DataFrame) -> DataFrame:
     return decoded.mapInPandas(run, "movie string, frame bigint, idx bigint, px bigint")
 
 
-def read_pixels(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    return to_pixels(decode_files(spark, path, verify))
+def read_pixels(spark: SparkSession, path: str, verify: bool = True, extension: str | None = None) -> DataFrame:
+    return to_pixels(decode_files(spark, path, verify, extension=extension))
 
 
 ENCODED = "movie string, frame bigint, frame_class string, adler bigint, data binary"

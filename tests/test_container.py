@@ -193,6 +193,16 @@ def test_version_2_index_and_refusals(spark, tmp_path):
         container.upgrade_movies(spark, str(tmp_path / "new"), str(tmp_path / "new"))
 
 
+def test_files_of_another_extension(spark, tmp_path):
+    for name in ("a.anim", "b.bin"):
+        (tmp_path / name).write_bytes(build(some_movie(), 24, 12, 1))
+    assert container.read_movies(spark, str(tmp_path)).count() == 2
+    assert container.read_movies(spark, str(tmp_path / "a.anim"), extension="anim").count() == 1
+    for read in (container.read_movies, container.read_frames, container.read_frame_data, container.read_pixels):
+        with pytest.raises(Exception, match="not a .anim file: b.bin"):
+            read(spark, str(tmp_path), extension="anim").collect()
+
+
 def test_wrong_checksum_is_found(spark, tmp_path):
     data = bytearray(build(some_movie(), 24, 12, 1))
     data[codec.PAGE] ^= 1
