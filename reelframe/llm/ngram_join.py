@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,22 +38,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        x = self[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return x
-
-
-def shingles(text: bytes | None, words: Words, n: int = SHINGLE) -> np.ndarray:
+def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of n words; a shorter text is one run, an empty one none."""
     split = text.translate(_FOLD).split() if text else ()
     if not split:
         return np.empty(0, np.uint64)
-    h = np.array([words[w] for w in split], np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split))
     k = min(n, len(h))
     run = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -230,12 +220,10 @@ def tile_links(left: list[tuple], right: list[tuple] | None, percent: int = PERC
 
 def _measure(docs: DataFrame) -> DataFrame:
     def task():
-        words = Words()
-
         def each(c):
             out = {"doc_id": c["doc_id"], "th": c["th"], "n": [], "h1": [], "h2": [], "low": [], "high": []}
             for t in c["text"]:
-                s = shingles(b.to_pybytes() if (b := t.as_buffer()) is not None else None, words)
+                s = shingles(b.to_pybytes() if (b := t.as_buffer()) is not None else None)
                 a = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 least = minima(s).view(np.uint8)
                 out["n"].append(len(s))
@@ -310,12 +298,11 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 def _arrays(docs: DataFrame) -> DataFrame:
     def task():
-        words = Words()
         return lambda c: {
             "node": c["node"],
             "grp": c["grp"],
             "copies": c["copies"],
-            "s": [shingles(b.to_pybytes() if (b := t.as_buffer()) is not None else None, words).tobytes() for t in c["text"]],
+            "s": [shingles(b.to_pybytes() if (b := t.as_buffer()) is not None else None).tobytes() for t in c["text"]],
         }
 
     return map_rows(docs, ["node", "grp", "copies", "text"], "node long, grp long, copies long, s binary", task)
