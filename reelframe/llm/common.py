@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -76,6 +77,22 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], count: str, tot
     return first.unionByName(rest.select(*first.columns))
 
 
+def released(run: Callable) -> Callable:
+    """run, with what a task's buffers held given back at its end: Spark uses a Python worker for many tasks, and an
+    executor's memory is that of its JVM and its workers together."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], Callable]) -> DataFrame:
     """mapInArrow over `columns`; fn() is called once a task and its result on each batch's dict of Arrow arrays.
 
@@ -96,7 +113,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[[], Ca
                 [x.cast(f.type) if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow
             )
 
-    return df.select(*columns).mapInArrow(run, out)
+    return df.select(*columns).mapInArrow(released(run), out)
 
 
 def stream_groups(df: DataFrame, key: list[str], order: list[str], schema: str, fn: Callable, partitions: int | None = None) -> DataFrame:
@@ -135,7 +152,7 @@ def stream_groups(df: DataFrame, key: list[str], order: list[str], schema: str,
         columns = list(zip(*held))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return dealt.sortWithinPartitions(*key, *order).mapInArrow(run, out)
+    return dealt.sortWithinPartitions(*key, *order).mapInArrow(released(run), out)
 
 
 def keep_rows(df: DataFrame, column: str, fn: Callable[[], Callable]) -> DataFrame:
@@ -148,4 +165,4 @@ def keep_rows(df: DataFrame, column: str, fn: Callable[[], Callable]) -> DataFra
             if batch.num_rows:
                 yield batch.filter(pa.array(each(batch.column(at)), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import released
+
 WINDOW = 13
 #: Bytes of benchmark text that one automaton may hold, and of texts that a task keeps while it goes through
 #: the automata of a benchmark that needs several.
@@ -192,7 +194,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
                 schema=arrow,
             )
 
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return docs.select(key, "text").mapInArrow(released(run), schema)
 
 
 def n_hit(ranges="ranges"):
@@ -221,4 +223,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_
             hits = [(n, sum(hi - lo for lo, hi in ranges)) for n, ranges, _ in found]
             yield batch.filter(pa.array([not (hit and 20 * hit >= n) for n, hit in hits], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import released
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -304,4 +304,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers=TIERS, step_tokens
         if out["doc_id"]:
             yield batch()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(released(run), schema)
