@@ -181,8 +181,8 @@ _SOURCE_SQL = " union all ".join(
 
 def _file_sizes(s, d):
     """What a folder shows after writing: whole files alone, each with its magic."""
-    found = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(files.movies(s, d))
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.hex(F.substring("content", 1, 4)).alias("magic"), (F.pmod("length", F.lit(4)) == 0).alias("aligned"))
+    found = container.read_starts(s, files.movies(s, d), 4)
+    return found.select(F.col("movie").alias("file"), F.hex("start").alias("magic"), (F.pmod("length", F.lit(4)) == 0).alias("aligned"))
 
 
 def _upgraded(s, d):

@@ -116,9 +116,10 @@ def entries_of(file, head: dict) -> Iterator[dict]:
             yield {**e, "gop": gop}
 
 
-def _files(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
-    """path and movie of the files, listed without their content. With an extension, a file of another is an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("movie"))
+def _files(spark: SparkSession, path: str, extension: str | None = None, below: bool = False) -> DataFrame:
+    """path and movie of the files, listed without their content; those of folders below too, if asked for. With an
+    extension, a file of another is an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(below).lower()).load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("movie"))
     if extension:
         other = F.raise_error(F.concat(F.lit(f"not a .{extension} file: "), F.col("movie")))
         files = files.withColumn("movie", F.when(F.endswith("movie", F.lit(f".{extension}")), F.col("movie")).otherwise(other))
@@ -156,6 +157,11 @@ def read_movies(spark: SparkSession, path: str, upgrade: bool = False, extension
     return _map(_files(spark, path, extension), MOVIES, lambda movie, file, _: [(movie, *_head(file, upgrade).values())])
 
 
+def read_starts(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """movie, length, start: each file at path or below with its first bytes. A file may be of any size: only those are read."""
+    return _map(_files(spark, path, below=True), "movie string, length bigint, start binary", lambda movie, file, _: [(movie, file.size(), file.read_at(size, 0))])
+
+
 def read_indexes(spark: SparkSession, path: str, upgrade: bool = False, extension: str | None = None) -> DataFrame:
     """The index rows with the movie's size, the frame's gop and the file's path."""
 

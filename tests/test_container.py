@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from reelframe import file_queries
 from reelframe.operators import blocks, combine, delta
 from reelframe.plans import files
 from reelframe.sources import codec, container, images, quicktime
@@ -203,6 +204,19 @@ def test_files_of_another_extension(spark, tmp_path):
             read(spark, str(tmp_path), extension="anim").collect()
 
 
+def test_files_of_any_size_are_listed(spark, tmp_path, monkeypatch):
+    """A file beyond 2 GB, which no row holds, one of two bytes, and one in a folder below."""
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below/b.anim").write_bytes(build(some_movie(), 24, 12, 1))
+    (tmp_path / "c.anim").write_bytes(b"ab")
+    with open(tmp_path / "a.anim", "wb") as f:
+        f.write(struct.pack("<I", container.MAGIC))
+        f.truncate((3 << 30) + 1)
+    monkeypatch.setattr(files, "movies", lambda s, d: str(tmp_path))
+    got = sorted(map(tuple, file_queries.QUERIES["container_files"](spark, "").collect()))
+    assert got == [("a.anim", "BEBAFECA", False), ("b.anim", "BEBAFECA", True), ("c.anim", "6162", False)]
+
+
 def test_wrong_checksum_is_found(spark, tmp_path):
     data = bytearray(build(some_movie(), 24, 12, 1))
     data[codec.PAGE] ^= 1
