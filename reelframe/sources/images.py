@@ -201,25 +201,22 @@ def unfilter(lines: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
     return got[1:, 1:].reshape(height, width).astype(np.uint8)
 
 
-#: The largest number of an image sequence.
-LAST_NUMBER = 9_999_999
-
-
 def sequence_of(spark: SparkSession, first: str) -> DataFrame:
     """frame, content of the numbered files from `first` on, up to the first number that is missing.
 
-    Numbers are zero-padded as the first one's. The end of the sequence is the
-    least number whose successor is missing, so no window is needed. Fewer than
-    two files are an error.
+    Numbers are zero-padded as the first one's; those that need more digits have
+    them, as write_pictures names them, up to any number. The end of the sequence
+    is the least number whose successor is missing, so no window is needed. Fewer
+    than two files are an error.
     """
     folder, name = os.path.split(first)
     found = re.match(r"(.*?)(\d+)(\.[^.]+)$", name)
     if not found:
         raise ValueError("the first file's name must end in a number")
     prefix, digits, ext = found.groups()
-    pattern = f"^{re.escape(prefix)}(\\d{{{len(digits)}}}){re.escape(ext)}$"
+    pattern = f"^{re.escape(prefix)}(\\d{{{len(digits)}}}|[1-9]\\d{{{len(digits)},}}){re.escape(ext)}$"
     files = spark.read.format("binaryFile").load(folder).withColumn("n", F.regexp_extract(F.element_at(F.split("path", "/"), -1), pattern, 1).try_cast("long"))
-    files = files.where((F.col("n") >= int(digits)) & (F.col("n") <= LAST_NUMBER))
+    files = files.where(F.col("n") >= int(digits))
     numbers = files.select("n")
     ends = numbers.join(numbers.select((F.col("n") - 1).alias("n")), "n", "left_anti")
     end = ends.agg(F.min("n").alias("end"))

@@ -321,6 +321,16 @@ def test_a_sequence_of_one_is_an_error(spark, tmp_path):
     assert images.sequence_of(spark, str(tmp_path / "F0005.png")).count() == 2
 
 
+def test_a_sequence_goes_on_beyond_its_digits(spark, tmp_path):
+    """9 is followed by 10 where names have one digit, 9999 by 10000 where they have four; 010 is no number of either."""
+    for k, names in enumerate((("8", "9", "10", "11", "13"), ("9998", "9999", "10000", "10001", "010002"), ("9999998", "9999999", "10000000", "10000001"))):
+        (tmp_path / str(k)).mkdir()
+        for n in names:
+            (tmp_path / f"{k}/F{n}.png").write_bytes(images.png(np.full(4, int(n), np.uint32), 2, 2, 24))
+        got = images.decode_pictures(images.sequence_of(spark, str(tmp_path / f"{k}/F{names[0]}.png"))).orderBy("frame").collect()
+        assert [(r.frame, int(np.frombuffer(r.data, "<u4")[0]) & 0xFFFFFF) for r in got] == [(i, int(names[0]) + i & 0xFFFFFF) for i in range(4)]
+
+
 def two_movies(spark, change=None):
     rows = [(f, i, 10 * f + i) for f in range(3) for i in range(4)]
     other = [r for r in rows if r != change]
