@@ -17,9 +17,9 @@ THRESHOLD = 0.93
 #: Projections whose collisions are counted, half-width of a query's window in standard deviations of a threshold
 #: pair's difference, and the chance that a threshold pair misses the count.
 PROJECTIONS, WIDTH, MISS = 32, 2.0, 1e-6
-#: Rows that a cell should hold, and chance that a pair at the threshold itself shares no cell of any table. Nearer
-#: pairs are missed less: at a cosine of 0.97 the chance is about a fifth of it.
-CELL_ROWS, CELL_MISS = 16_384, 0.02
+#: Where cells are asked for, the chance that a pair at the threshold itself shares no cell of any table. Nearer pairs
+#: are missed less: at a cosine of 0.97 the chance is about a fifth of it.
+CELL_MISS = 0.02
 #: Rows, and components of all rows, that a side of a job holds at most.
 BLOCK, VALUES = 16_384, 1 << 22
 
@@ -155,16 +155,17 @@ def _marked(vectors: DataFrame, key: str, label: str, vector: str, with_vector:
     return map_rows(named, ["id", "label", "vector"], schema, task)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", label: str = "label", vector: str = "embedding", cell_rows: int = CELL_ROWS, cell_miss: float = CELL_MISS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", label: str = "label", vector: str = "embedding", cell_rows: int | None = None, cell_miss: float = CELL_MISS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; pairs of one label with a cosine of threshold or more link.
 
-    Equal vectors of a label are one class, which is compared once. Classes of a
-    label are dealt to cells by the signs of k projections, k growing with the
-    logarithm of the label's size so that a cell holds about cell_rows (no
-    projection, one cell, where that many are all), in as many tables as bring
-    the chance that a threshold pair meets in none to cell_miss. A cell beyond
-    BLOCK rows or VALUES components is cut into blocks, and two blocks meet in a job. A job sorts
-    PROJECTIONS projections, counts in how many of them a row lies in another's
+    Equal vectors of a label are one class, which is compared once. A label is
+    one cell, whatever its size, so whether two rows link depends on them alone.
+    A cell beyond BLOCK rows or VALUES components is cut into blocks, and any two
+    blocks meet in a job, which is quadratic in a label's distinct vectors. A
+    caller who would rather miss links may ask for cells of about cell_rows: a
+    label is then dealt to cells by the signs of k projections, k growing with
+    the logarithm of its size, in as many tables as bring the chance that a
+    threshold pair meets in none to cell_miss. A job sorts PROJECTIONS projections, counts in how many of them a row lies in another's
     window, and verifies the pairs that pass the calibrated count, each in the
     first table that it shares. Jobs return counts and a spanning set of links,
     so a group's pairs are never written out.
@@ -179,8 +180,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     rows = written(_marked(vectors, key, label, vector, False))
     good = "raw is not null and label is not null and id is not null"
     counts = rows.where(good).select("label", "raw").distinct().groupBy("label").agg(F.count("*").alias("n"))
-    k = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / cell_rows))).cast("int")
-    counts = written(counts.withColumn("k", k))
+    k = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / cell_rows))) if cell_rows else F.lit(0)
+    counts = written(counts.withColumn("k", k.cast("int")))
     classes = _marked(vectors, key, label, vector, True).where(good).groupBy("label", "raw").agg(F.min("id").alias("node"), F.count("*").alias("many"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     sized = split_join(classes, counts, ["label"], "n", total)

@@ -564,6 +564,18 @@ def test_recall_of_a_label_of_many_cells(spark):
     assert recall >= 0.97
 
 
+def test_no_link_is_lost_in_a_large_label(spark):
+    """Rows of a label beyond 16,384 link as all pairs do; with fewer rows beside them, they link the same."""
+    rng = np.random.default_rng(19)
+    centres = rng.normal(size=(16_000, 32))
+    x = np.concatenate([centres[:3000] + rng.normal(size=(3000, 32)) * rng.uniform(0.2, 0.32, (3000, 1)), centres]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for n in (6000, len(x)):
+        links = np.concatenate([(unit[lo : min(lo + 2000, n)] @ unit[:n].T >= 0.93).sum(1) - 1 for lo in range(0, n, 2000)])
+        got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x[:n])], "vec_id long, embedding array<float>, label int")).toPandas().set_index("vec_id")
+        assert links.sum() > 2000 and (got.n_links.loc[range(n)].to_numpy() == links).all()
+
+
 def test_sharding_edges(spark):
     rows = ROWS + [(50 + i, "x" * 900) for i in range(40)] + [(200, "y" * 600)] * 5
     got = sharding.assign_shards(documents(spark, rows), limit_bytes=2000).toPandas()
